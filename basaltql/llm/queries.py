@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import flac_media, simhash_vptree
 from .common import table
 from .suffix_dedup import kept_digest, suffix_dedup
 
@@ -10,7 +11,19 @@ def op1_suffix_dedup(spark, sf_dir):
     return kept_digest(suffix_dedup(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
+def op5_simhash_vptree(spark, sf_dir):
+    return simhash_vptree.digest(simhash_vptree.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+def op9_flac_media(spark, sf_dir):
+    return flac_media.features(flac_media.encode(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op5_simhash_vptree": op5_simhash_vptree,
+    "op9_flac_media": op9_flac_media,
+}
 
 ORACLE_SQL = {
     "op1_suffix_dedup": """
