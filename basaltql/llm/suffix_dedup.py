@@ -4,9 +4,10 @@ A byte goes if it lies in a 50-byte string that also starts in a document with a
 
 1. *Anchors.*  Every 50-byte window has one anchor, the leftmost least-hashed 24-byte piece in it.  Equal windows
    have equal anchors at equal places, so windows can be dealt to shards by their anchor and no match is lost.
-   Neighbouring windows with one anchor travel together as a run of bytes.  A map task keeps, of equal runs, those
-   of the smallest document and marks the others at once: a passage in a third of all documents leaves each task
-   once.
+   Neighbouring windows with one anchor travel together as a run of bytes.  A task keeps, of equal runs, those of
+   the smallest document and marks the others at once: a passage in a third of all documents leaves each task once.
+   Shards first count the anchors' prints (a few bytes each) and answer with a bit; only runs whose anchor occurs
+   elsewhere travel.
 2. *Index family.*  A shard takes its documents in doc_id order in batches.  Each batch gets a suffix array: its
    positions sorted by the first 50 bytes (the order of the bytes' 64-bit fingerprint, ties checked byte by byte).
    The array is merge-scanned against the levels of older documents, the new suffixes form a level, and levels of
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import binary_buffers, text_bytes
 
 WINDOW, PIECE = 50, 24
-#: Bytes of text hashed at once, bytes of runs in a shard, bytes of text in a bucket, windows in a batch.
-BUFFER, SHARD_BYTES, BUCKET_BYTES, BATCH = 3 << 20, 40 << 20, 12 << 20, 1 << 20
+#: Bytes of text hashed at once, of runs in a shard, of text in a bucket; windows in a batch; text whose anchors one shard counts.
+BUFFER, SHARD_BYTES, BUCKET_BYTES, BATCH, ASKED_BYTES = 3 << 20, 40 << 20, 12 << 20, 1 << 20, 70 << 20
 LAST = np.iinfo(np.int64).max
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 MARKS = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("stop", "<i8")])
@@ -121,52 +122,105 @@ def _runs(raw: np.ndarray, part: list, mult: int):
     return buf, start, stop - start, pieces[anchor[start]], whole[start], whole[stop - 1], seg, base
 
 
-def _runs_of_batch(shards: int):
-    def to_shards(batches):
-        for batch in batches:
-            offsets, raw = binary_buffers(batch.column(2))
-            ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
-            rows = batch.column(1).to_numpy(zero_copy_only=False)
-            for part in _segments(offsets):
-                buf, start, n, anchor, h1, h2, seg, base = _runs(raw, part, MULTIPLIERS[0])
-                row = np.array([r for r, _, _ in part])[seg]
-                first = np.array([s for _, s, _ in part])[seg] - base[seg] - offsets[row] + start
-                doc = ids[row]
-                # of equal runs, those of the smallest document stand for all
-                order = np.lexsort((doc, n, h2, h1))
-                new = np.ones(len(order), bool)
-                new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]) | (n[order][1:] != n[order][:-1])
-                least = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-                stand = np.empty(len(order), bool)
-                stand[order] = doc[order] == least
-                known = np.flatnonzero(~stand)
-                shard = (_mix(anchor * np.uint64(MULTIPLIERS[1])) % np.uint64(shards)).astype(np.int64)
-                if len(known):
-                    marks = np.empty(len(known), MARKS)
-                    marks["doc"], marks["row"], marks["start"] = doc[known], rows[row[known]], first[known]
-                    marks["stop"] = first[known] + n[known] + WINDOW - 1
-                    yield _row(int(shard[known[0]]), 1, b"", b"", b"", b"", _pack(marks))
-                send = np.flatnonzero(stand)
-                send = send[np.argsort(shard[send], kind="stable")]
-                cuts = np.flatnonzero(np.diff(shard[send])) + 1
-                for own in np.split(send, cuts):
-                    if len(own):
-                        used, at = np.unique(row[own], return_inverse=True)
-                        size = n[own] + WINDOW - 1
-                        spot = np.repeat(start[own] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-                        yield _row(int(shard[own[0]]), 0, _pack(np.stack([ids[used], rows[used]])), _pack(at.astype(np.uint32)), _pack(first[own].astype(np.int64)), _pack(n[own].astype(np.uint8)), _pack(buf[spot]))
-
-    return to_shards
+def _parts(docs: pa.Table):
+    """The runs of a bucket's texts, in parts of about BUFFER bytes and in an order that is the same each time."""
+    docs = docs.sort_by([("doc_id", "ascending"), ("row", "ascending")]).combine_chunks()
+    ids = docs.column("doc_id").fill_null(LAST).to_numpy()
+    rows = docs.column("row").to_numpy()
+    offsets, raw = binary_buffers(docs.column("text").chunk(0)) if docs.num_rows else (np.zeros(1, np.int64), np.zeros(0, np.uint8))
+    for number, part in enumerate(_segments(offsets)):
+        buf, start, n, anchor, h1, h2, seg, base = _runs(raw, part, MULTIPLIERS[0])
+        row = np.array([r for r, _, _ in part])[seg]
+        first = np.array([s for _, s, _ in part])[seg] - base[seg] - offsets[row] + start
+        doc = ids[row]
+        # of equal runs, those of the smallest document stand for all
+        order = np.lexsort((doc, n, h2, h1))
+        new = np.ones(len(order), bool)
+        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]) | (n[order][1:] != n[order][:-1])
+        least = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        stand = np.empty(len(order), bool)
+        stand[order] = doc[order] == least
+        yield number, buf, start, n, _mix(anchor * np.uint64(MULTIPLIERS[1])), doc, rows[row], first, stand
+
+
+def _offered(mixed: np.ndarray, stand: np.ndarray, shards: int):
+    """(shard, runs in the order of their 40-bit anchor prints, these prints) of the runs that stand."""
+    own = np.flatnonzero(stand)
+    shard = (mixed[own] >> np.uint64(40)).astype(np.int64) % shards
+    low = mixed[own] & np.uint64((1 << 40) - 1)
+    order = np.lexsort((own, low, shard))
+    for g in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+        if len(g):
+            yield int(shard[g[0]]), own[g], low[g]
+
+
+def _offer(shards: int):
+    """Sends the prints of a bucket's anchors to the shards that count them: sorted differences, byte by byte."""
+
+    def offer(docs: pa.Table) -> pa.Table:
+        out = []
+        for number, _, _, _, mixed, _, _, _, stand in _parts(docs):
+            for shard, _, low in _offered(mixed, stand, shards):
+                step = np.diff(low, prepend=np.uint64(0))
+                out.append((shard, docs.column("bucket")[0].as_py(), number, _pack(np.ascontiguousarray(step.view("u1").reshape(-1, 8).T[:5]))))
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("shard", "bucket", "part", "prints"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)})
+
+    return offer
+
+
+def _twins(table: pa.Table) -> pa.Table:
+    """Which of the offered anchors occur more than once: a bit each, back to the bucket that asked."""
+    lows = []
+    for x in table.column("prints"):
+        planes = _unpack(x.as_py(), "u1").reshape(5, -1)
+        step = np.zeros((planes.shape[1], 8), np.uint8)
+        step[:, :5] = planes.T
+        lows.append(np.cumsum(step.reshape(-1).view("<u8")))
+    low = np.concatenate(lows)
+    order = np.argsort(low, kind="stable")
+    twin = np.zeros(len(low), bool)
+    equal = low[order][1:] == low[order][:-1]
+    twin[1:] |= equal
+    twin[:-1] |= equal
+    back = np.empty_like(twin)
+    back[order] = twin
+    bits = [_pack(np.packbits(b)) for b in np.split(back, np.cumsum([len(x) for x in lows])[:-1])]
+    return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "shard": table.column("shard"), "bits": pa.array(bits, pa.binary())})
+
+
+def _send(asked: int, shards: int):
+    """Sends the runs whose anchor occurs elsewhere to the shards that hold the index family; marks what is known already."""
+
+    def send(docs: pa.Table, bits: pa.Table) -> pa.Table:
+        answer = {(p, s): b for p, s, b in zip(bits.column("part").to_pylist(), bits.column("shard").to_pylist(), bits.column("bits").to_pylist(), strict=True)}
+        out = []
+        for number, buf, start, n, mixed, doc, row, first, stand in _parts(docs):
+            known = np.flatnonzero(~stand)
+            if len(known):
+                marks = np.empty(len(known), MARKS)
+                marks["doc"], marks["row"], marks["start"] = doc[known], row[known], first[known]
+                marks["stop"] = first[known] + n[known] + WINDOW - 1
+                out.append((int(mixed[known[0]] % np.uint64(shards)), 1, b"", b"", b"", b"", _pack(marks)))
+            picked = [own[np.unpackbits(_unpack(answer[number, s], "u1"), count=len(own)).astype(bool)] for s, own, _ in _offered(mixed, stand, asked)]
+            send = np.sort(np.concatenate(picked)) if picked else np.zeros(0, int)
+            shard = (_mix(mixed[send]) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            send, shard = send[order], shard[order]
+            for own in np.split(send, np.flatnonzero(np.diff(shard)) + 1):
+                if len(own):
+                    (used, at), size = np.unique(np.stack([doc[own], row[own]]), axis=1, return_inverse=True), n[own] + WINDOW - 1
+                    spot = np.repeat(start[own] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+                    out.append((int(_mix(mixed[own[:1]])[0] % np.uint64(shards)), 0, _pack(np.ascontiguousarray(used)), _pack(at.astype(np.uint32)), _pack(first[own].astype(np.int64)), _pack(n[own].astype(np.uint8)), _pack(buf[spot])))
+        cols = list(zip(*out, strict=True)) or [()] * 7
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("shard", "kind", "docs", "at", "first", "n", "data"), cols, (pa.int64(), pa.int32(), *[pa.binary()] * 5), strict=True)})
+
+    return send
 
 
 SHARD_SCHEMA = "shard long, kind int, docs binary, at binary, first binary, n binary, data binary"
 
 
-def _row(*values):
-    types = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], ["shard", "kind", "docs", "at", "first", "n", "data"])
-
-
 class Collision(Exception):
     """Two different strings had one fingerprint."""
 
@@ -266,15 +320,7 @@ def _family_of_shard(buckets: int):
             del parts
             size = n + WINDOW - 1
             at = np.cumsum(size) - size
-            # a window can only repeat if its anchor is in two runs: the rest of the shard needs no index
-            anchor = _anchors(raw, at, n)
-            order = np.argsort(anchor, kind="stable")
-            twin = np.zeros(len(order), bool)
-            eq = anchor[order][1:] == anchor[order][:-1]
-            twin[1:] |= eq
-            twin[:-1] |= eq
-            use = np.flatnonzero(_back(order, twin))
-            use = use[np.argsort(docs[use], kind="stable")]
+            use = np.argsort(docs, kind="stable")
             marks.append(_resolve(docs[use], rows[use], first[use], n[use], raw, at[use]))
         out = np.concatenate(marks) if marks else np.empty(0, MARKS)
         bucket = _bucket(out["row"], buckets)
@@ -285,25 +331,6 @@ def _family_of_shard(buckets: int):
     return of_shard
 
 
-def _back(order, values):
-    out = np.empty_like(values)
-    out[order] = values
-    return out
-
-
-def _anchors(raw, at, n):
-    """The anchor's fingerprint of each run, found anew from its first window."""
-    out = np.empty(len(at), np.uint64)
-    for lo in range(0, len(at), 50_000):
-        a = at[lo : lo + 50_000]
-        own = raw[(a[:, None] + np.arange(WINDOW)).ravel()]
-        h = _prints(own, PIECE, MULTIPLIERS[0])
-        h = np.append(h, np.zeros(PIECE - 1, np.uint64)).reshape(-1, WINDOW)[:, : WINDOW - PIECE + 1]
-        key = (_mix(h) & np.uint64(0xFFFFFFFF00000000)) | np.arange(WINDOW - PIECE + 1, dtype=np.uint64)
-        out[lo : lo + 50_000] = h[np.arange(len(a)), key.argmin(axis=1)]
-    return out
-
-
 def _bucket(row: np.ndarray, buckets: int) -> np.ndarray:
     return (row >> np.int64(1)) % np.int64(buckets)
 
@@ -346,13 +373,15 @@ def _apply(docs: pa.Table, marks: pa.Table) -> pa.Table:
 def suffix_dedup(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay), and the removed runs' starts and stops."""
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     total = text_bytes(documents)
-    shards, buckets = max(1, total * 9 // 2 // SHARD_BYTES), max(8, total // BUCKET_BYTES)
-    runs = docs.mapInArrow(_runs_of_batch(shards), SHARD_SCHEMA)
+    buckets, asked, shards = max(8, total // BUCKET_BYTES), max(1, total // ASKED_BYTES), max(1, total * 9 // 2 // SHARD_BYTES)
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    dealt = docs.withColumn("bucket", F.pmod(F.shiftright("row", 1), F.lit(buckets))).groupBy("bucket")
+    prints = dealt.applyInArrow(_offer(asked), "shard long, bucket long, part long, prints binary")
+    bits = prints.groupBy("shard").applyInArrow(_twins, "bucket long, part long, shard long, bits binary")
+    runs = dealt.cogroup(bits.groupBy("bucket")).applyInArrow(_send(asked, shards), SHARD_SCHEMA)
     marks = runs.groupBy("shard").applyInArrow(_family_of_shard(buckets), "bucket long, marks binary")
-    dealt = docs.withColumn("bucket", F.pmod(F.shiftright("row", 1), F.lit(buckets)))
-    return dealt.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_apply, OUT_SCHEMA)
+    return dealt.cogroup(marks.groupBy("bucket")).applyInArrow(_apply, OUT_SCHEMA)
 
 
 def kept_digest(result: DataFrame) -> DataFrame:
