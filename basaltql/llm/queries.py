@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import flac_media, simhash_vptree
-from .common import table
+from pyspark.sql import functions as F
+
+from . import decontaminate, ecoc_langid, feistel_pii, flac_media, ipf_mix, simhash_vptree, toxic_fst
+from .common import crc_mod, table
 from .suffix_dedup import kept_digest, suffix_dedup
 
 
@@ -11,21 +13,52 @@ def op1_suffix_dedup(spark, sf_dir):
     return kept_digest(suffix_dedup(table(spark, sf_dir, "documents")))
 
 
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash_vptree(spark, sf_dir):
     return simhash_vptree.digest(simhash_vptree.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op6_ecoc_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = ecoc_langid.fit(docs, crc_mod(F.col("doc_id"), 4) != 2)
+    return ecoc_langid.identify(docs, model).withColumn("held_out", crc_mod(F.col("doc_id"), 4) == 2)
+
+
+def op7_toxic_fst(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxic_fst.fit(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0)
+    return toxic_fst.toxicity(docs, model).withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0)
+
+
+def op8_feistel_pii(spark, sf_dir):
+    return feistel_pii.pseudonymize(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found")
+
+
+def op10_ipf_mix(spark, sf_dir):
+    mixed = ipf_mix.mixed(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("probability", 6).alias("probability"), "sampled")
+
+
 def op9_flac_media(spark, sf_dir):
     return flac_media.features(flac_media.encode(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op5_simhash_vptree": op5_simhash_vptree,
+    "op6_ecoc_langid": op6_ecoc_langid,
+    "op7_toxic_fst": op7_toxic_fst,
+    "op8_feistel_pii": op8_feistel_pii,
     "op9_flac_media": op9_flac_media,
+    "op10_ipf_mix": op10_ipf_mix,
 }
 
 ORACLE_SQL = {
+    "op10_ipf_mix": ipf_mix.oracle_sql(),
     "op1_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s
