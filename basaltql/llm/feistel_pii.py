@@ -19,7 +19,8 @@ ROUNDS = 8
 #: The days from 1900-01-01 to 2099-12-31 are 229 * 319; valid areas and groups, and serials, of a SSN.
 DAYS_A, DAYS_B, SSN_A, SSN_B = 229, 319, 898 * 99, 9999
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
-SECRET = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\x22']?[A-Za-z0-9_\-]{12,})"
+SECRET = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\x22\x27]?[A-Za-z0-9_\-]{12,})"
+BEFORE_SECRET = r"^.*[=:]\s*[\x22\x27]?(?=[A-Za-z0-9_-]{12,}$)"
 NUMBER = "|".join((
     r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d.]*\d)",
     r"\d{4}-\d{2}-\d{2}(?![\d-])",
@@ -134,7 +135,7 @@ def pseudonym_sql(m: str, key: str) -> str:
     return f"""case
       when instr({m}, '@') > 0 then concat({_text(f"split({m}, '@')[0]", key)}, '@', split({m}, '@')[1])
       when {m} rlike {_q(r'^(AKIA|ASIA)[A-Z0-9]{16}$')} then concat(substr({m}, 1, 4), {_text(f'substr({m}, 5)', key)})
-      when {m} rlike '[=:]' then concat(regexp_extract({m}, {_q(r'^.*[=:]\s*[\x22']?(?=[A-Za-z0-9_-]{12,}$)')}, 0), {_text(f"regexp_extract({m}, '[A-Za-z0-9_-]+$', 0)", key)})
+      when {m} rlike '[=:]' then concat(regexp_extract({m}, {_q(BEFORE_SECRET)}, 0), {_text(f"regexp_extract({m}, '[A-Za-z0-9_-]+$', 0)", key)})
       when {m} rlike {_q(r'^\d+[.]\d+[.]\d+[.]\d+$')} then if({octets}, {_ip(m, key)}, {m})
       when {m} rlike {_q(r'^(\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|\d\d[.]\d\d[.]\d{4})$')} then
         if({_day(m)} between date'1900-01-01' and date'2099-12-31', {_date(m, key)}, {m})
