@@ -216,3 +216,113 @@ def near_duplicates(documents: DataFrame, words_each: int = 3, bits: int = 2) ->
 
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- near copies: five-word shingles, similarity 0.8 or more
+
+VIEWS, EACH, WORDS, SIMILAR = 12, 3, 5, 0.8
+LAST = (1 << 63) - 1
+_SALT = (np.arange(1, VIEWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+
+
+def shingle_hashes(text: bytes, words_each: int = WORDS) -> np.ndarray:
+    """Sorted distinct XXH64 of a text's word shingles (of fewer words: of all of them)."""
+    words = text.lower().split()
+    flat = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    k = min(words_each, len(words))
+    if not k:
+        return np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)
+    starts = np.append(0, ends[:-1] + 1)[: len(words) - k + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(flat[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def view_prints(hashes: np.ndarray) -> np.ndarray:
+    """VIEWS fingerprints of a set of shingles, each the SimHash of the EACH shingles that a hash of the view's own puts first."""
+    low = None
+    for lo in range(0, len(hashes), STEP):
+        g = (hashes[None, lo : lo + STEP] ^ _SALT) * np.uint64(0xBF58476D1CE4E5B9)
+        g ^= g >> np.uint64(31)
+        g *= np.uint64(0x94D049BB133111EB)
+        g ^= g >> np.uint64(29)
+        low = g if low is None else np.concatenate([low, g], axis=1)
+        if low.shape[1] > EACH:
+            low = np.partition(low, EACH - 1, axis=1)[:, :EACH]
+    if low.shape[1] == 1:
+        return low[:, 0]
+    if low.shape[1] == 2:
+        return low[:, 0] & low[:, 1]
+    a, b, c = low.T
+    return (a & b) | (b & c) | (a & c)
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    """The documents with _key, 64 bits that stand for the text (null and empty alike)."""
+    return documents.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")), F.octet_length(F.coalesce("text", F.lit("")))))
+
+
+def similar(documents: DataFrame) -> DataFrame:
+    """_key and _root: texts of one root are linked by similarity SIMILAR or more of their five-word shingles, singles left out.
+
+    Each text has VIEWS fingerprints; vantage-point trees link them at 2 bits or fewer.  In every group so found each
+    text is compared with the group's first one, on whole shingle sets: at most VIEWS comparisons a text, whatever the
+    group's size.
+    """
+    texts = _keyed(documents).select("_key", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+    def sketch(batches):
+        for b in batches:
+            prints = [view_prints(shingle_hashes(t.as_buffer().to_pybytes())).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.list_(pa.int64()))], ["_key", "prints"])
+
+    prints = texts.mapInArrow(sketch, "_key long, prints array<long>").select("_key", F.explode("prints").alias("fp")).distinct()
+    prints = written(prints, "views")
+    points = prints.groupBy("fp").agg(F.min("_key").alias("least"), F.count("*").alias("n"))
+    points = written(points, "view-points")
+    roots = components(links(points, 2)).withColumnRenamed("node", "fp")
+    # groups of one fingerprint and one text need no look
+    groups = points.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    heads = groups.groupBy("root").agg(F.min("least").alias("head"), F.sum("n").alias("n")).where("n > 1")
+    heads = groups.join(heads.select("root", "head"), "root").select("fp", "head")
+    pairs = written(prints.join(heads, "fp").where("_key <> head").select("_key", "head").distinct(), "view-pairs")
+
+    def shingled(batches):
+        for b in batches:
+            sets = [shingle_hashes(t.as_buffer().to_pybytes()).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["_key", "shingles"])
+
+    asked = pairs.select("_key").union(pairs.select("head")).distinct()
+    sets = texts.join(asked, "_key", "left_semi").dropDuplicates(["_key"]).mapInArrow(shingled, "_key long, shingles binary")
+    sets = written(sets, "view-sets")
+    both = pairs.join(sets, "_key").join(sets.select(F.col("_key").alias("head"), F.col("shingles").alias("of_head")), "head")
+
+    def verified(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                common = 0
+                if SIMILAR * max(len(x), len(y)) <= min(len(x), len(y)):
+                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    common = int((y[at] == x).sum())
+                ok.append(common >= SIMILAR * (len(x) + len(y) - common))
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
+
+    edges = both.select("_key", "head", "shingles", "of_head").mapInArrow(verified, "u long, v long")
+    return components(edges).select(F.col("node").alias("_key"), F.col("root").alias("_root"))
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The documents without copies and near copies: of each group the row with the smallest doc_id stays (null ids last), once."""
+    docs = _keyed(documents)
+    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    ids = docs.groupBy("_key").agg(F.min(rank).alias("least"))
+    ids = ids.join(similar(documents), "_key", "left").select("_key", F.coalesce("_root", "_key").alias("_root"), "least")
+    first = ids.groupBy("_root").agg(F.min(F.struct("least", "_key")).alias("first")).select(F.col("first._key").alias("_key"), F.col("first.least").alias("_least"))
+    first = written(first, "kept")
+    kept = docs.join(first, (docs["_key"] == first["_key"]) & (rank == first["_least"])).drop(first["_key"])
+    if docs.groupBy("_key", rank.alias("rank")).count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_key", "_least"])
+    return kept.drop("_key", "_least")

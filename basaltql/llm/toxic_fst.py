@@ -20,6 +20,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,3 +193,13 @@ def toxicity(documents: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _ in got], pa.int32()), pa.array([n for _, n in got], pa.int32())], ["doc_id", "score", "predicted", "matches"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, SCHEMA)
+
+
+def civil(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows whose score is under 0.5, with all their columns."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t or "")[0] for t in texts], dtype=float)
+
+    return documents.where(score("text") < 0.5)
