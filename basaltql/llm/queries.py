@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, ecoc_langid, feistel_pii, flac_media, ipf_mix, simhash_vptree, toxic_fst
+from . import brown_lm, decontaminate, ecoc_langid, feistel_pii, flac_media, ipf_mix, kneser_ney, simhash_vptree, toxic_fst
 from .common import crc_mod, table
 from .suffix_dedup import kept_digest, suffix_dedup
 
@@ -17,6 +17,14 @@ def op2_decontaminate(spark, sf_dir):
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_kneser_ney(spark, sf_dir):
+    return kneser_ney.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
+def op4_brown_lm(spark, sf_dir):
+    return brown_lm.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 10) != 0)
+
+
 def op5_simhash_vptree(spark, sf_dir):
     return simhash_vptree.digest(simhash_vptree.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -49,6 +57,8 @@ def op9_flac_media(spark, sf_dir):
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_kneser_ney": op3_kneser_ney,
+    "op4_brown_lm": op4_brown_lm,
     "op5_simhash_vptree": op5_simhash_vptree,
     "op6_ecoc_langid": op6_ecoc_langid,
     "op7_toxic_fst": op7_toxic_fst,
