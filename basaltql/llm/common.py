@@ -49,6 +49,16 @@ def text_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that df has no column of."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def crc_mod(doc_id, n: int):
     """crc32(doc_id as text) mod n as a column; a null doc_id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare
+
 ERROR_RATE, SHORT, KEY, GROUP, BLOCK_BYTES, CHUNK = 0.1, 50, 8, 4, 4 << 20, 3 << 20
 HASH_BITS = 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -203,6 +205,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """The documents in which no test item is found, with all their columns."""
-    found = matches(documents, benchmark, rate).select(F.col("doc_id").alias("_hit")).distinct()
-    return documents.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+    """The documents in which no test item is found, with all their columns; rows of one doc_id stay or go together."""
+    (hit,) = spare(documents, "_hit")
+    found = matches(documents, benchmark, rate).select(F.col("doc_id").alias(hit)).distinct()
+    return documents.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(hit)), "left_anti")

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare
+
 ROUNDS = 8
 #: The days from 1900-01-01 to 2099-12-31 are 229 * 319; valid areas and groups, and serials, of a SSN.
 DAYS_A, DAYS_B, SSN_A, SSN_B = 229, 319, 898 * 99, 9999
@@ -147,11 +149,14 @@ def pseudonym_sql(m: str, key: str) -> str:
       else {m} end"""
 
 
-def pseudonymize(documents: DataFrame, key: str = "basaltql-key-1") -> DataFrame:
-    """The documents with personal data replaced by pseudonyms, and n_found, the number of replaced values."""
-    spare = "_found"
-    docs = documents.withColumn(spare, F.when(F.col("text").rlike("[0-9@]|[=:]"), F.expr(f"regexp_extract_all(text, {_q(FOUND)}, 0)")))
-    docs = docs.withColumn("_names", F.expr(f"transform({spare}, m -> {pseudonym_sql('m', key)})"))
-    joined = F.expr(f"array_join(zip_with(split(text, {_q(FOUND)}, -1), _names, (a, b) -> concat(a, coalesce(b, ''))), '')")
-    docs = docs.withColumn("text", F.when(F.size(spare) > 0, joined).otherwise(F.col("text")))
-    return docs.withColumn("n_found", F.expr(f"size(filter(zip_with({spare}, _names, (a, b) -> a <> b), c -> c))").cast("int")).withColumn("n_found", F.greatest("n_found", F.lit(0))).drop(spare, "_names")
+def pseudonymize(documents: DataFrame, key: str = "basaltql-key-1", count: str | None = "n_found") -> DataFrame:
+    """The documents with personal data replaced by pseudonyms; `count` names a column for the number of replaced values (it replaces one of that name)."""
+    found, names = spare(documents, "_found", "_names")
+    docs = documents.withColumn(found, F.when(F.col("text").rlike("[0-9@]|[=:]"), F.expr(f"regexp_extract_all(text, {_q(FOUND)}, 0)")))
+    docs = docs.withColumn(names, F.expr(f"transform({found}, m -> {pseudonym_sql('m', key)})"))
+    joined = F.expr(f"array_join(zip_with(split(text, {_q(FOUND)}, -1), {names}, (a, b) -> concat(a, coalesce(b, ''))), '')")
+    docs = docs.withColumn("text", F.when(F.size(found) > 0, joined).otherwise(F.col("text")))
+    if count:
+        docs = docs.withColumn(count, F.coalesce(F.expr(f"size(filter(zip_with({found}, {names}, (a, b) -> a <> b), c -> c))"), F.lit(0)).cast("int"))
+        docs = docs.withColumn(count, F.greatest(F.col(count), F.lit(0)))
+    return docs.drop(found, names)

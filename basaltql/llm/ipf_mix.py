@@ -39,7 +39,7 @@ def topic(text: Column) -> Column:
 def classed(documents: DataFrame) -> DataFrame:
     """The documents with _source, _lang, _topic and _tokens."""
     named = lambda c: F.coalesce(c.cast("string"), F.lit("<null>"))
-    own = F.col("topic") if "topic" in documents.columns else topic(F.coalesce("text", F.lit("")))
+    own = F.col("topic") if "topic" in [c.lower() for c in documents.columns] else topic(F.coalesce("text", F.lit("")))
     return documents.withColumns({"_source": named(F.col("source")), "_lang": named(F.col("lang")), "_topic": named(own), "_tokens": tokens(F.col("text"))})
 
 
@@ -96,12 +96,15 @@ def probabilities(cells: DataFrame, share: float = SHARE) -> DataFrame:
 
 
 def mixed(documents: DataFrame, share: float = SHARE) -> DataFrame:
-    """All documents with _source, _lang, _topic, _tokens, probability and sampled."""
+    """All documents with _source, _lang, _topic, _tokens, probability and sampled (columns of these names are replaced)."""
     docs = classed(documents)
-    cells = probabilities(cell_weights(docs), share).select("_source", "_lang", "_topic", "p")
+    cells = probabilities(cell_weights(docs), share).select("_source", "_lang", "_topic", F.col("p").alias("probability"))
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    docs = docs.join(cells, ["_source", "_lang", "_topic"], "left").withColumn("probability", F.coalesce("p", F.lit(1.0))).drop("p")
-    return docs.withColumn("sampled", draw < F.col("probability"))
+    docs = docs.drop("probability", "sampled").join(cells, ["_source", "_lang", "_topic"], "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
+    return docs.withColumn("sampled", draw < F.col("probability")).select(*[c for c in documents.columns if c.lower() not in OWN], *OWN)
+
+
+OWN = ("_source", "_lang", "_topic", "_tokens", "probability", "sampled")
 
 
 def oracle_sql(documents: str = "documents", rounds: int = ROUNDS, share: float = SHARE) -> str:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, spare, written
 
 SAMPLE, SHARD_POINTS, LEAF, STEP = 1 << 18, 30_000, 192, 1 << 15
 
@@ -257,9 +257,10 @@ def view_prints(hashes: np.ndarray) -> np.ndarray:
     return (a & b) | (b & c) | (a & c)
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    """The documents with _key, 64 bits that stand for the text (null and empty alike)."""
-    return documents.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")), F.octet_length(F.coalesce("text", F.lit("")))))
+def _text_key():
+    """64 bits that stand for a text (null and empty alike)."""
+    text = F.coalesce("text", F.lit(""))
+    return F.xxhash64(text, F.octet_length(text))
 
 
 def similar(documents: DataFrame) -> DataFrame:
@@ -269,7 +270,7 @@ def similar(documents: DataFrame) -> DataFrame:
     text is compared with the group's first one, on whole shingle sets: at most VIEWS comparisons a text, whatever the
     group's size.
     """
-    texts = _keyed(documents).select("_key", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    texts = documents.select(_text_key().alias("_key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def sketch(batches):
         for b in batches:
@@ -316,13 +317,12 @@ def similar(documents: DataFrame) -> DataFrame:
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents without copies and near copies: of each group the row with the smallest doc_id stays (null ids last), once."""
-    docs = _keyed(documents)
-    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    ids = docs.groupBy("_key").agg(F.min(rank).alias("least"))
+    key, least = spare(documents, "_key", "_least")
+    docs = documents.withColumns({key: _text_key(), least: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))})
+    ids = docs.groupBy(F.col(key).alias("_key")).agg(F.min(least).alias("least"))
     ids = ids.join(similar(documents), "_key", "left").select("_key", F.coalesce("_root", "_key").alias("_root"), "least")
-    first = ids.groupBy("_root").agg(F.min(F.struct("least", "_key")).alias("first")).select(F.col("first._key").alias("_key"), F.col("first.least").alias("_least"))
-    first = written(first, "kept")
-    kept = docs.join(first, (docs["_key"] == first["_key"]) & (rank == first["_least"])).drop(first["_key"])
-    if docs.groupBy("_key", rank.alias("rank")).count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_key", "_least"])
-    return kept.drop("_key", "_least")
+    first = ids.groupBy("_root").agg(F.min(F.struct("least", "_key")).alias("first")).select(F.col("first._key").alias(key), F.col("first.least").alias(least))
+    kept = docs.join(written(first, "kept"), [key, least])
+    if docs.groupBy(key, least).count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([key, least])
+    return kept.select(*documents.columns)
