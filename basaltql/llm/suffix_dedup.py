@@ -356,7 +356,7 @@ def _apply(docs: pa.Table, marks: pa.Table) -> pa.Table:
     new = np.ones(len(spans), bool)
     new[1:] = (key[1:] != key[:-1]).any(axis=1)
     head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(spans))
+    tail = np.append(head[1:], len(spans))[: len(head)]
     where = {(int(key[h, 0]), int(key[h, 1])): (h, t) for h, t in zip(head, tail, strict=True)}
     out = []
     for i, r, text in zip(docs.column("doc_id").to_pylist(), docs.column("row").to_pylist(), docs.column("text"), strict=True):
