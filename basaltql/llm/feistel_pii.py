@@ -29,12 +29,15 @@ NUMBER = "|".join((
     r"\d{2}/\d{2}/\d{4}(?![\d/])",
     r"\d{2}\.\d{2}\.\d{4}(?![\d.]*\d)",
     r"\d{3}-\d{2}-\d{4}(?![\d-])",
-    r"\d(?:[ -]?\d){12,18}(?![ -]?\d)",
+    r"\d{4} \d{4} \d{4} \d{4}(?!\d)",
+    r"\d{4}-\d{4}-\d{4}-\d{4}(?!\d)",
+    r"\d{4}[ -]\d{6}[ -]\d{5}(?!\d)",
+    r"\d{13,19}(?!\d)",
     r"\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)",
     r"\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
     r"\d{3} \d{3} \d{4}(?!\d)",
 ))
-PHONE = r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]\d{1,4})(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<![\w+])\+\d{8,15}(?!\d)"
+PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,5}(?:[ .-]?\d{3,5})?(?!\d)|(?<![\w+])\+\d{8,15}(?!\d)"
 FOUND = f"{EMAIL}|{SECRET}|{PHONE}|(?<![\\w.-])(?:{NUMBER})"
 
 
