@@ -270,14 +270,15 @@ def similar(documents: DataFrame) -> DataFrame:
     text is compared with the group's first one, on whole shingle sets: at most VIEWS comparisons a text, whatever the
     group's size.
     """
-    texts = documents.select(_text_key().alias("_key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_rank")
+    texts = documents.select(_text_key().alias("_key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), rank)
 
     def sketch(batches):
         for b in batches:
             prints = [view_prints(shingle_hashes(t.as_buffer().to_pybytes())).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.list_(pa.int64()))], ["_key", "prints"])
 
-    prints = texts.mapInArrow(sketch, "_key long, prints array<long>").select("_key", F.explode("prints").alias("fp")).distinct()
+    prints = texts.select("_key", "text").mapInArrow(sketch, "_key long, prints array<long>").select("_key", F.explode("prints").alias("fp")).distinct()
     prints = written(prints, "views")
     points = prints.groupBy("fp").agg(F.min("_key").alias("least"), F.count("*").alias("n"))
     points = written(points, "view-points")
@@ -294,7 +295,9 @@ def similar(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["_key", "shingles"])
 
     asked = pairs.select("_key").union(pairs.select("head")).distinct()
-    sets = texts.join(asked, "_key", "left_semi").dropDuplicates(["_key"]).mapInArrow(shingled, "_key long, shingles binary")
+    # of copies one row is joined to the keys, so that a group of copies doesn't meet in a task
+    ones = texts.groupBy("_key").agg(F.min("_rank").alias("_rank")).join(asked, "_key", "left_semi")
+    sets = texts.join(ones, ["_key", "_rank"], "left_semi").dropDuplicates(["_key"]).select("_key", "text").mapInArrow(shingled, "_key long, shingles binary")
     sets = written(sets, "view-sets")
     both = pairs.join(sets, "_key").join(sets.select(F.col("_key").alias("head"), F.col("shingles").alias("of_head")), "head")
 
