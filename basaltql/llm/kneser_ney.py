@@ -202,7 +202,8 @@ def quality(documents: DataFrame, trusted: DataFrame, quantile: float = QUANTILE
     """doc_id, lang, n_bytes, perplexity, threshold and keep of every row; `trusted` names the doc_ids to learn from."""
     ids = trusted.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()
     learned, held = ids.where(crc_mod(F.col("_id"), FOLDS) != 0), ids.where(crc_mod(F.col("_id"), FOLDS) == 0)
-    known = documents.join(learned, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").where("length(text) > 0")
+    # a merge join at every size: the ids have no bound that would allow a broadcast
+    known = documents.join(learned.hint("merge"), F.col("doc_id").cast("long") == F.col("_id"), "left_semi").where("length(text) > 0")
     model, shares, passes = fit(known.select(F.col("text").cast("binary").alias("text")))
     scored = log_probabilities(documents, model, shares, passes)
     scored = scored.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.pow(F.lit(10.0), -F.col("log10p") / F.col("n_bytes")))).drop("log10p")
