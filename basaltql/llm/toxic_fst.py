@@ -7,8 +7,8 @@ insults and threats on one of its tapes: plain, aimed at a target nearby, negate
 words, are scored, and a logistic layer over the clauses' sums gives the score; its weights, those of the negated and
 the reported tape among them, are learned from the same labelled rows.
 
-Learning uses a bounded sample: about LEARN labelled texts, picked by a hash of doc_id, repeated texts once, and keeps
-the MOST strongest lexicon entries.  Every text is scored whole.  Null and empty texts get the score of a text without
+Learning uses a bounded sample: about LEARN labelled texts, picked by a hash of doc_id, repeated texts once (toxic if
+one of them is marked so), and keeps the MOST strongest lexicon entries.  Every text is scored whole.  Null and empty texts get the score of a text without
 a match.  Without labels the fixed lists alone decide.  A null doc_id is kept and never learned from.  Repeated rows
 yield repeated rows.  Extra columns are ignored.
 """
@@ -146,7 +146,7 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column) -> Model:
     if not count:
         return plain
     picked = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < min(1.0, LEARN / count) * (1 << 30))
-    picked = documents.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).where("text is not null").dropDuplicates(["text"]).select("y", "text")
+    picked = documents.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).where("text is not null").groupBy("text").agg(F.max("y").alias("y")).select("y", "text")
 
     def counted(batches):
         for b in batches:
