@@ -32,7 +32,7 @@ from .common import binary_buffers, text_bytes
 
 WINDOW, PIECE = 50, 24
 #: Bytes of text hashed at once, of runs in a shard, of text in a bucket; windows in a batch; text whose anchors one shard counts.
-BUFFER, SHARD_BYTES, BUCKET_BYTES, BATCH, ASKED_BYTES = 3 << 20, 40 << 20, 12 << 20, 1 << 20, 70 << 20
+BUFFER, SHARD_BYTES, BUCKET_BYTES, BATCH, ASKED_BYTES = 2 << 20, 32 << 20, 12 << 20, 1 << 20, 70 << 20
 LAST = np.iinfo(np.int64).max
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 MARKS = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("stop", "<i8")])
