@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, spare, written
@@ -221,6 +221,9 @@ def digest(result: DataFrame) -> DataFrame:
 # ---- near copies: five-word shingles, similarity 0.8 or more
 
 VIEWS, EACH, WORDS, SIMILAR = 12, 3, 5, 0.8
+#: Texts of a group that one task takes; of larger groups: heads in a round, pairs left per text at which rounds end,
+#: texts of one shingle that meet unsalted.
+GROUP, HEADS, PAIRS, SALT = 2000, 8, 64, 1000
 LAST = (1 << 63) - 1
 _SALT = (np.arange(1, VIEWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
@@ -266,9 +269,11 @@ def _text_key():
 def similar(documents: DataFrame) -> DataFrame:
     """_key and _root: texts of one root are linked by similarity SIMILAR or more of their five-word shingles, singles left out.
 
-    Each text has VIEWS fingerprints; vantage-point trees link them at 2 bits or fewer.  In every group so found each
-    text is compared with the group's first one, on whole shingle sets: at most VIEWS comparisons a text, whatever the
-    group's size.
+    Each text has VIEWS fingerprints; vantage-point trees link them at 2 bits or fewer.  Of every group so found all
+    pairs that could be similar and aren't joined yet are compared, on whole shingle sets: first with the group's
+    first text; then a group of up to GROUP texts in one task (`_group_links`); larger ones with texts already linked,
+    round by round while that joins any, and at last by prefixes (`_prefix_pairs`).  No similar pair of a group is
+    left out.
     """
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_rank")
     texts = documents.select(_text_key().alias("_key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), rank)
@@ -286,19 +291,143 @@ def similar(documents: DataFrame) -> DataFrame:
     # groups of one fingerprint and one text need no look
     groups = points.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     heads = groups.groupBy("root").agg(F.min("least").alias("head"), F.sum("n").alias("n")).where("n > 1")
-    heads = groups.join(heads.select("root", "head"), "root").select("fp", "head")
-    pairs = written(prints.join(heads, "fp").where("_key <> head").select("_key", "head").distinct(), "view-pairs")
+    members = groups.join(heads.select("root", "head"), "root").select("fp", "root", "head")
+    members = written(prints.join(members, "fp").select("root", "head", "_key").distinct(), "view-members")
 
     def shingled(batches):
         for b in batches:
             sets = [shingle_hashes(t.as_buffer().to_pybytes()).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["_key", "shingles"])
 
-    asked = pairs.select("_key").union(pairs.select("head")).distinct()
+    asked = members.select("_key").distinct()
     # of copies one row is joined to the keys, so that a group of copies doesn't meet in a task
     ones = texts.groupBy("_key").agg(F.min("_rank").alias("_rank")).join(asked, "_key", "left_semi")
     sets = texts.join(ones, ["_key", "_rank"], "left_semi").dropDuplicates(["_key"]).select("_key", "text").mapInArrow(shingled, "_key long, shingles binary")
     sets = written(sets, "view-sets")
+
+    heads = members.select("root", "head").distinct()
+    edges = written(_verified(members.where("_key <> head").select("_key", "head").distinct(), sets), "view-links")
+    before = None
+    while True:
+        parts = components(edges).select(F.col("node").alias("_key"), F.col("root").alias("part"))
+        now = members.select("root", "_key").join(parts, "_key", "left").select("root", "_key", F.coalesce("part", "_key").alias("part"))
+        mixed = now.groupBy("root").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("root")
+        now = written(now.join(mixed, "root"), "view-open")
+        if now.isEmpty():
+            return parts.withColumnRenamed("part", "_root")
+        size = now.groupBy("root", "part").agg(F.count("*").cast("double").alias("n")).groupBy("root").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).where(F.col("n") > GROUP)
+        texts_left, left = size.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0))).first()
+        if left <= PAIRS * texts_left or before is not None and left > 0.9 * before:
+            break
+        before = left
+        # the next heads: texts that weren't heads of the group yet, those with a link first
+        fresh = now.join(heads.withColumnRenamed("head", "_key"), ["root", "_key"], "left_anti")
+        fresh = fresh.join(parts.select("_key", F.lit(1).alias("linked")), "_key", "left")
+        order = Window.partitionBy("root").orderBy(F.col("linked").desc_nulls_last(), F.xxhash64("_key"), "_key")
+        fresh = written(fresh.withColumn("at", F.row_number().over(order)).where(F.col("at") <= HEADS).select("root", F.col("_key").alias("head"), F.col("part").alias("other")), "view-heads")
+        heads = heads.union(fresh.select("root", "head"))
+        pairs = now.join(fresh, "root").where("part <> other").select("_key", "head").distinct()
+        edges = edges.union(written(_verified(pairs, sets), "view-links"))
+    large = now.groupBy("root").count().where(F.col("count") > GROUP).select("root")
+    small = now.join(large, "root", "left_anti").join(sets, "_key").select("root", "_key", "part", "shingles")
+    edges = edges.union(small.repartition("root").sortWithinPartitions("root").mapInArrow(_group_links, "u long, v long"))
+    if left:
+        edges = edges.union(_verified(written(_prefix_pairs(now.join(large, "root"), sets), "view-pairs"), sets))
+    return components(edges).select(F.col("node").alias("_key"), F.col("root").alias("_root"))
+
+
+def _joined(keys: np.ndarray, part: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the parts of a group which similar texts connect; every pair not joined by then is compared."""
+    size = np.array([len(x) for x in sets])
+    starts = np.cumsum(size) - size
+    distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(distinct), np.int64)
+    fresh, out, todo = np.ones(len(sets), bool), [], list(range(len(sets)))
+    while todo:
+        h = todo.pop()
+        if not fresh[h]:
+            continue
+        fresh[h] = False
+        near = fresh & (part != part[h]) & (SIMILAR * np.maximum(size, size[h]) <= np.minimum(size, size[h]))
+        if not near.any():
+            continue
+        own = flat[starts[h] : starts[h] + size[h]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[flat], starts)
+        mark[own] = 0
+        for j in np.flatnonzero(near & (common >= SIMILAR * (size + size[h] - common))).tolist():
+            todo.append(j)  # a linked text is the next to be compared
+            if part[j] != part[h]:
+                out.append((int(keys[h]), int(keys[j])))
+                part[part == part[j]] = part[h]
+    return out
+
+
+def _group_links(batches):
+    """Links of whole groups; rows (root, _key, part, shingles) come sorted by root."""
+
+    def links_of(t: pa.Table):
+        root = t.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(root[1:] != root[:-1]) + 1).tolist(), len(root)]
+        keys, part, sets = t.column(1).to_numpy(), t.column(2).to_numpy().copy(), t.column(3).to_pylist()
+        out = [e for a, b in zip(cuts, cuts[1:], strict=False) for e in _joined(keys[a:b], part[a:b], [np.frombuffer(x, np.uint64) for x in sets[a:b]])]
+        return _edges(out)
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        root = b.column(0).to_numpy()
+        if not len(root):
+            continue
+        last = int(np.searchsorted(root, root[-1]))  # the last group may go on
+        if held and (last or held[-1].column(0)[0].as_py() != root[0]):
+            first = int(np.searchsorted(root, held[-1].column(0)[0].as_py(), side="right"))
+            yield links_of(pa.Table.from_batches([*held, b.slice(0, first)]))
+            held = []
+            if last > first:
+                yield links_of(pa.Table.from_batches([b.slice(first, last - first)]))
+            last = max(last, first)
+        elif not held and last:
+            yield links_of(pa.Table.from_batches([b.slice(0, last)]))
+        held.append(b.slice(last))
+    if held:
+        yield links_of(pa.Table.from_batches(held))
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """_key and head: all pairs of a group (root, _key, part) that could be similar, but those of one part.
+
+    With a group's shingles ordered rarest first, two sets of similarity SIMILAR share one among the first
+    s - SIMILAR * s + 1 of each, s being a set's size.  Texts of a shingle that many share are dealt out by salt.
+    """
+
+    def each(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
+                own = [np.frombuffer(v.as_buffer(), np.int64) for v in part.column(3)]
+                n = np.array([len(x) for x in own])
+                rows = [pa.array(np.repeat(part.column(k).to_numpy(), n)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(np.repeat(n, n)), pa.array(np.concatenate(own))], ["root", "_key", "part", "size", "shingle"])
+
+    entries = members.join(sets, "_key").select("root", "_key", "part", "shingles").mapInArrow(each, "root long, _key long, part long, size long, shingle long")
+    entries = written(entries, "view-shingles")
+    often = entries.groupBy("root", "shingle").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("root", "_key").orderBy("n", "shingle")
+    first = entries.join(often, ["root", "shingle"]).withColumn("at", F.row_number().over(order))
+    first = first.where(F.col("at") <= F.col("size") - F.ceil(SIMILAR * F.col("size") - 1e-6) + 1).where("n > 1")
+    first = written(first.withColumn("salts", F.ceil(F.col("n") / SALT).cast("int")), "view-prefixes")
+    a = first.withColumn("salt", F.pmod(F.xxhash64("_key"), F.col("salts")).cast("int"))
+    b = first.select("root", "shingle", F.col("_key").alias("head"), F.col("part").alias("other"), F.col("size").alias("of_head"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    near = F.least("size", "of_head") >= SIMILAR * F.greatest("size", "of_head") - 1e-6
+    return a.join(b, ["root", "shingle", "salt"]).where("_key < head and part <> other").where(near).select("_key", "head").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u and v of the pairs (_key, head) whose shingle sets are similar."""
     both = pairs.join(sets, "_key").join(sets.select(F.col("_key").alias("head"), F.col("shingles").alias("of_head")), "head")
 
     def verified(batches):
@@ -314,8 +443,7 @@ def similar(documents: DataFrame) -> DataFrame:
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
 
-    edges = both.select("_key", "head", "shingles", "of_head").mapInArrow(verified, "u long, v long")
-    return components(edges).select(F.col("node").alias("_key"), F.col("root").alias("_root"))
+    return both.select("_key", "head", "shingles", "of_head").mapInArrow(verified, "u long, v long")
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:

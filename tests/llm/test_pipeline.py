@@ -60,6 +60,56 @@ def test_near_copies_against_brute_force(spark):
     assert kept == set(group)
 
 
+@pytest.mark.parametrize("group, pairs", [(2000, 64), (10, 10**9), (10, 0)])
+def test_star_families_against_brute_force(spark, monkeypatch, group, pairs):
+    """Originals whose copies are similar to them and not to each other: in one task, by prefixes, by rounds of heads first."""
+    monkeypatch.setattr(simhash_vptree, "GROUP", group)
+    monkeypatch.setattr(simhash_vptree, "PAIRS", pairs)
+    monkeypatch.setattr(simhash_vptree, "SALT", 50)
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    texts = []
+    for copies in (300, 50, 10):
+        base = [word() for _ in range(200)]
+        texts.append(base)
+        for _ in range(copies):
+            t = list(base)
+            for k in rnd.sample(range(200), 3):
+                t[k] = word()
+            texts.append(t)
+    rnd.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    kept = {r.doc_id for r in simhash_vptree.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [set(simhash_vptree.shingle_hashes(t.encode()).tolist()) for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if group[a] != group[b]:
+                common = len(sets[a] & sets[b])
+                if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                    x, y = group[a], group[b]
+                    group = [min(x, y) if g in (x, y) else g for g in group]
+    assert kept == set(group) and len(kept) < 20
+
+
+def test_groups_that_cross_batches_are_whole():
+    """Rows of a group may come in several batches; what is found must not depend on where they are cut."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.RandomState(5)
+    base = np.arange(100, dtype=np.uint64)
+    rows = [(g, 100 * g + i, 100 * g + i, np.sort(np.where(rnd.rand(100) < 0.04, base + np.uint64(1000 * (i + 1)), base)).tobytes()) for g, n in enumerate((1, 2, 9, 3, 1, 20, 2)) for i in range(n)]
+    names = ["root", "_key", "part", "shingles"]
+    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+    whole = pa.RecordBatch.from_arrays(cols, names)
+    edges = lambda batches: sorted(e for out in simhash_vptree._group_links(batches) for e in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
+    want = edges([whole])
+    assert len(want) > 20
+    for step in (1, 2, 3, 5, 7, 13):
+        assert edges([whole.slice(lo, step) for lo in range(0, len(rows), step)]) == want
+
+
 def test_repeated_rows_leave_one(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (None, "c"), (None, "c")], "doc_id long, text string")
     got = Counter((r.doc_id, r.text) for r in simhash_vptree.one_of_each(df).collect())
