@@ -32,12 +32,26 @@ THREATS = "kill hurt destroy beat shoot stab burn punish töten schlagen tuer fr
 TARGETS = "you your yours u he she they them him her du dich dir ihr euch sie tu te toi vous il elle ils usted ustedes él ella ellos".split()
 NEGATIONS = "not never no isn't aren't don't nicht kein keine nie pas jamais ne nunca jamás".split()
 REPORTS = "said says say wrote writes quoted claimed called alleged sagte schrieb dit écrit dijo escribió".split()
-WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+#: Scripts written without blanks (Thai, Lao, Burmese, Khmer, kana, Han).
+RUN = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W\d_{RUN}]+(?:'[^\W\d_{RUN}]+)?|[{RUN}]+")
+UNSPACED = re.compile(f"[{RUN}]")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 TAPES = ("plain", "aimed", "negated", "reported")
 SCHEMA = "doc_id long, score double, predicted int, matches int"
 
 
+def words_of(text: str) -> list[str]:
+    """All words of a lower-cased text, whatever stands between them; a run of an unspaced script counts as its pairs of letters."""
+    found = WORD.findall(text)
+    if text.isascii() or not UNSPACED.search(text):
+        return found
+    out = []
+    for w in found:
+        out += [w[i : i + 2] for i in range(max(1, len(w) - 1))] if UNSPACED.match(w) else [w]
+    return out
+
+
 class Lexicon:
     """A transducer from words to (symbol, weight): whole words first, then the longest stem."""
 
@@ -50,7 +64,7 @@ class Lexicon:
         self.cache: dict[str, tuple[str, float] | None] = {}
 
     def read(self, token: str) -> tuple[str, float] | None:
-        """Of a lower-cased token between blanks."""
+        """Of a lower-cased word."""
         if token in self.cache:
             return self.cache[token]
         found = WORD.search(token)
@@ -94,11 +108,11 @@ class Grammar:
 def _features(text: str, lexicon: Lexicon) -> list[float]:
     """Of a whole text: log of each tape's sum, log of the matches, whether there is one, whether there are two."""
     low = text.lower()
-    if not any((s := lexicon.read(t)) and s[0] == "x" for t in set(low.split())):
+    if not any((s := lexicon.read(t)) and s[0] == "x" for t in set(words_of(low))):
         return [0.0] * 7
     tapes, matches, grammar = [0.0] * 4, 0, Grammar()
     for clause in CLAUSE.split(low):
-        symbols = [lexicon.read(t) for t in clause.split()]
+        symbols = [lexicon.read(t) for t in words_of(clause)]
         n = sum(1 for s in symbols if s and s[0] == "x")
         if n:
             matches += n
@@ -108,7 +122,7 @@ def _features(text: str, lexicon: Lexicon) -> list[float]:
 
 def _entries(text: str) -> set[str]:
     """A text's words, and its stems with a star."""
-    words = {m[0] for t in set(text.lower().split()) if (m := WORD.search(t))}
+    words = set(words_of(text.lower()))
     return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
 
 
