@@ -155,7 +155,7 @@ def pseudonym_sql(m: str, key: str) -> str:
 def pseudonymize(documents: DataFrame, key: str = "basaltql-key-1", count: str | None = "n_found") -> DataFrame:
     """The documents with personal data replaced by pseudonyms; `count` names a column for the number of replaced values (it replaces one of that name)."""
     found, names = spare(documents, "_found", "_names")
-    docs = documents.withColumn(found, F.when(F.col("text").rlike("[0-9@]|[=:]"), F.expr(f"regexp_extract_all(text, {_q(FOUND)}, 0)")))
+    docs = documents.withColumn(found, F.when(F.col("text").rlike("[0-9@]|[=:]|AKIA|ASIA"), F.expr(f"regexp_extract_all(text, {_q(FOUND)}, 0)")))
     docs = docs.withColumn(names, F.expr(f"transform({found}, m -> {pseudonym_sql('m', key)})"))
     joined = F.expr(f"array_join(zip_with(split(text, {_q(FOUND)}, -1), {names}, (a, b) -> concat(a, coalesce(b, ''))), '')")
     docs = docs.withColumn("text", F.when(F.size(found) > 0, joined).otherwise(F.col("text")))
