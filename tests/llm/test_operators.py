@@ -191,6 +191,18 @@ def test_op6_held_out_accuracy(spark):
     assert ecoc_langid.codewords(12).shape[0] == 12 and len({tuple(r) for r in ecoc_langid.codewords(12)}) == 12
 
 
+def test_op6_knows_every_language(spark):
+    """70 languages, each with letters of its own; the rarest are as well known as the rest."""
+    rnd = random.Random(5)
+    word = lambda k: "".join(chr(0x4E00 + 40 * k + rnd.randrange(12)) for _ in range(4))
+    many = [k for k in range(70) for _ in range(6 if k < 64 else 4)]
+    data = [(i, " ".join(word(k) for _ in range(30)), f"l{k:02d}") for i, k in enumerate(many)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in ecoc_langid.identify(df, ecoc_langid.fit(df, F.lit(True))).collect()}
+    assert len(set(got.values())) == 70
+    assert np.mean([got[i] == lang for i, _, lang in data]) > 0.95
+
+
 def test_op7_grammar_and_held_out(spark, docs):
     rnd = random.Random(6)
     texts, labels = [], []
