@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a local one only where none is set (tests)."""
+    """The folder all executors share, as the session names it; a local one only on a local master where none is set (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = os.path.join(tempfile.gettempdir(), "basaltql-checkpoints")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -71,3 +73,11 @@ def binary_buffers(array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(off, dtype=np.int64 if large else np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return offsets - offsets[0], raw[offsets[0] : offsets[-1]]
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that `written` wrote and no plan reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for where in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(conf).delete(path, True)

@@ -1,29 +1,28 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A test item of n bytes may be found with e = n // 10 edits (none for items under 50 bytes).  It is cut into e + 1
-pieces; a match leaves one of them whole.  Pieces are found by a table of their first 8 bytes, looked up at every
-byte of a text at once.  Hits are verified in two steps, both with Myers' bit-parallel distance: first a group of up
+pieces; a match leaves one of them whole.  Pieces are found by a table of 8 bytes of each, those that are rarest among
+the items, looked up at every byte of a text at once.  Hits are verified in two steps, both with Myers' bit-parallel distance: first a group of up
 to four neighbouring pieces that must hold with fewer edits than it has pieces (one group always does), for all hits
 side by side in 64-bit words, then the whole item.
 
-Both sides are lower-cased and their white space is collapsed.  The test items are read in blocks of BLOCK_BYTES
-(a proven bound of what a task holds); each block goes over all documents.  Null or empty texts and items never
-match.  A null doc_id is kept.  Repeated rows yield repeated hits, repeated items a hit each.  Extra columns are
-ignored.
+Both sides are lower-cased and their white space is collapsed.  The test items are a query set against all documents,
+read in blocks of BLOCK_BYTES, which is what the driver and a task hold; of several blocks each is a pass of its own
+whose hits are written.  Hits of a piece that many items share are expanded EXPANDED at a time.  Null or empty texts
+and items never match.  A null doc_id is kept, and every row is judged by its own text.  Repeated rows yield repeated
+hits, repeated items a hit each.  Extra columns are ignored, or kept by `clean`.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spare
+from .common import written
 
-ERROR_RATE, SHORT, KEY, GROUP, BLOCK_BYTES, CHUNK = 0.1, 50, 8, 4, 4 << 20, 3 << 20
+ERROR_RATE, SHORT, KEY, GROUP, BLOCK_BYTES, CHUNK, EXPANDED = 0.1, 50, 8, 4, 4 << 20, 3 << 20, 200_000
 HASH_BITS = 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, item_id long, edits int, stop long"
@@ -66,7 +65,7 @@ class Items:
         self.items = items
         self.tiny = [k for k, (_, t) in enumerate(items) if len(t) < KEY]
         self.most = [budget(len(t), rate) for _, t in items]
-        keys, groups = [], []
+        keys, groups, often = [], [], self._frequencies(items)
         for k, (_, t) in enumerate(items):
             if len(t) < KEY:
                 continue
@@ -77,7 +76,8 @@ class Items:
                 last = min(g + each, e + 1)
                 pattern = t[cuts[g] : cuts[last]][:64]
                 for i in range(g, last):
-                    keys.append((int.from_bytes(t[cuts[i] : cuts[i] + KEY], "little"), len(groups), cuts[i] - cuts[g]))
+                    at = cuts[i] + int(np.argmin(often[k][cuts[i] : cuts[i + 1] - KEY + 1]))
+                    keys.append((int.from_bytes(t[at : at + KEY], "little"), len(groups), at - cuts[g]))
                 groups.append((k, cuts[g], len(pattern), last - g - 1, pattern))
         keys.sort()
         self.key = np.array([x[0] for x in keys], np.uint64)
@@ -96,6 +96,13 @@ class Items:
         self.maybe = np.zeros(1 << HASH_BITS, bool)
         self.maybe[self._hash(self.distinct)] = True
 
+    @staticmethod
+    def _frequencies(items: list[tuple[int, bytes]]) -> list[np.ndarray]:
+        """How often the KEY bytes at each place of each item occur among all items."""
+        words = [np.ndarray((max(0, len(t) - KEY + 1),), "<u8", t, strides=(1,)) if len(t) >= KEY else np.zeros(0, "<u8") for _, t in items]
+        _, back, n = np.unique(np.concatenate([*words, np.zeros(0, "<u8")]), return_inverse=True, return_counts=True)
+        return np.split(n[back], np.cumsum([len(w) for w in words])[:-1])
+
     @staticmethod
     def _hash(words: np.ndarray) -> np.ndarray:
         return (words * MULTIPLIER) >> np.uint64(64 - HASH_BITS)
@@ -110,17 +117,22 @@ class Items:
         spot = np.minimum(np.searchsorted(self.distinct, words[at]), len(self.distinct) - 1)
         own = self.distinct[spot] == words[at]
         at, spot = at[own], spot[own]
-        n = self.count[spot]
-        which = np.repeat(self.first[spot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        group = self.group_of[which]
-        start = np.repeat(at, n) - self.inner[which]
-        both = np.unique(np.stack([group, start]), axis=1) if len(group) else np.stack(none)
-        group, start = both
-        raw = np.frombuffer(flat, np.uint8)
-        keep = np.zeros(len(group), bool)
-        for lo in range(0, len(group), 20_000):
-            keep[lo : lo + 20_000] = self._near(raw, group[lo : lo + 20_000], start[lo : lo + 20_000])
-        return group[keep], start[keep]
+        raw, out, lo = np.frombuffer(flat, np.uint8), [none], 0
+        upto = np.cumsum(self.count[spot])
+        while lo < len(spot):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + EXPANDED, side="right")))
+            n = self.count[spot[lo:hi]]
+            for part in range(0, int(n.sum()), EXPANDED):  # one place of a piece that more items share
+                own = np.arange(part, min(part + EXPANDED, int(n.sum())))
+                place = np.searchsorted(np.cumsum(n), own, side="right")
+                which = self.first[spot[lo:hi]][place] + own - (np.cumsum(n) - n)[place]
+                both = np.stack([self.group_of[which], at[lo:hi][place] - self.inner[which]])
+                both = np.unique(both, axis=1)
+                keep = np.concatenate([self._near(raw, both[0, x : x + 20_000], both[1, x : x + 20_000]) for x in range(0, both.shape[1], 20_000)])
+                out.append((both[0, keep], both[1, keep]))
+            lo = hi
+        found = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)]), axis=1)
+        return found[0], found[1]
 
     def _near(self, raw, group, start):
         size, spare = self.size[group], self.spare[group]
@@ -188,24 +200,52 @@ def matches(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
         def each(batches):
             block = Items(items, rate)
             for b in batches:
-                ids, texts, size, first = b.column(0).to_pylist(), [], 0, 0
-                for i in range(len(ids)):
-                    texts.append(normal(b.column(1)[i].as_py()))
-                    size += len(texts[-1])
-                    if size >= CHUNK or i + 1 == len(ids):
-                        got = block.search(texts)
-                        if got:
-                            cols = ([ids[first + g[0]] for g in got], [items[g[1]][0] for g in got], [g[2] for g in got], [g[3] for g in got])
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "item_id", "edits", "stop"])
-                        texts, size, first = [], 0, i + 1
+                for rows, got in _searched(block, b.column(1)):
+                    if got:
+                        cols = ([b.column(0)[rows[g[0]]].as_py() for g in got], [items[g[1]][0] for g in got], [g[2] for g in got], [g[3] for g in got])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "item_id", "edits", "stop"])
 
         return docs.mapInArrow(each, SCHEMA)
 
-    return reduce(DataFrame.union, [against(items) for items in _blocks(benchmark)])
+    blocks = _blocks(benchmark)
+    found = against(next(blocks))
+    for items in blocks:
+        found = written(found, "leaks").union(written(against(items), "leaks"))
+    return found
+
+
+def _searched(block: Items, texts: pa.Array):
+    """(rows, what `search` finds in them) in parts of about CHUNK bytes of normalised text."""
+    part, rows, size = [], [], 0
+    for i in range(len(texts)):
+        part.append(normal(texts[i].as_py()))
+        rows.append(i)
+        size += len(part[-1])
+        if size >= CHUNK or i + 1 == len(texts):
+            yield rows, block.search(part)
+            part, rows, size = [], [], 0
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """The documents in which no test item is found, with all their columns; rows of one doc_id stay or go together."""
-    (hit,) = spare(documents, "_hit")
-    found = matches(documents, benchmark, rate).select(F.col("doc_id").alias(hit)).distinct()
-    return documents.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(hit)), "left_anti")
+    """The documents in which no test item is found, with all their columns; every row stays or goes by its own text.
+
+    A filter of the scan: nothing is shuffled or joined.
+    """
+    at = documents.columns.index(next(c for c in documents.columns if c.lower() == "text"))
+
+    def without(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
+        def each(batches):
+            block = Items(items, rate)
+            for b in batches:
+                hit = np.zeros(b.num_rows, bool)
+                for rows, got in _searched(block, b.column(at)):
+                    hit[[rows[g[0]] for g in got]] = True
+                yield b.filter(pa.array(~hit))
+
+        return docs.mapInArrow(each, documents.schema)
+
+    blocks = _blocks(benchmark)
+    kept = without(documents, next(blocks))
+    for items in blocks:
+        kept = without(written(kept, "clean"), items)
+    return kept

@@ -50,6 +50,11 @@ def _packed(row: np.ndarray) -> bytes:
     return place.astype("<u2").tobytes() + value[place].tobytes()
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of a letter category is in a text, as `\\p{L}` tells; numbers such as ½ are none."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 class Sparse:
     """Rows of features as (places, values), made dense ROWS at a time."""
 
@@ -118,7 +123,7 @@ class Model:
             best = p.argmax(1)
             top = np.sort(p, axis=1)
             out += [(self.langs[k], float(p[i, k]), len(self.langs) > 1 and bool(top[i, -1] - top[i, -2] < AMBIGUOUS)) for i, k in enumerate(best)]
-        return [r if LETTER.search(t) else ("und", 0.0, False) for r, t in zip(out, texts, strict=True)]
+        return [r if has_letter(t) else ("und", 0.0, False) for r, t in zip(out, texts, strict=True)]
 
 
 def fit(documents: DataFrame, training: Column) -> Model:

@@ -6,13 +6,16 @@ is permuted within its own format by an 8-round keyed Feistel network over Z_a x
 string), so a pseudonym is valid where its original was, and equal values stay equal in all documents.  What fails
 validation stays as it is.
 
+The key is the caller's; it reaches the plan as the value of a scalar sub-query over a local row, so neither EXPLAIN
+nor the plan's description holds it.
+
 Null text stays null with 0 found; empty text stays empty.  A null doc_id is kept.  Repeated rows yield repeated rows.
 All columns are kept; the text is replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import spare
@@ -47,7 +50,7 @@ def _q(s: str) -> str:
 
 
 def _hash(key: str, tweak: str, i: str, x: str) -> str:
-    return f"cast(conv(substr(sha2(concat({_q(key)}, '|{tweak}|', {i}, '|', {x}), 256), 1, 15), 16, 10) as bigint)"
+    return f"cast(conv(substr(sha2(concat({key}, '|{tweak}|', {i}, '|', {x}), 256), 1, 15), 16, 10) as bigint)"
 
 
 def _permuted(left: str, right: str, a: str, b: str, key: str, tweak: str, finish: str) -> str:
@@ -122,7 +125,7 @@ def _shifted(mine: str, other: str, i: str, key: str) -> str:
     move = "cast(conv(substr(h, 1 + 2 * (k % 32), 2), 16, 10) as int)"
     turn = lambda lo, n: f"chr(ascii('{lo}') + (ascii(c) - ascii('{lo}') + {move}) % {n})"
     kinds = f"case when c between '0' and '9' then {turn('0', 10)} when c between 'a' and 'z' then {turn('a', 26)} when c between 'A' and 'Z' then {turn('A', 26)} else c end"
-    return f"element_at(transform(array(sha2(concat({_q(key)}, '|text|', {i}, '|', length({mine}), '|', {other}), 256)), h -> array_join(transform(filter(split({mine}, ''), e -> e <> ''), (c, k) -> {kinds}), '')), 1)"
+    return f"element_at(transform(array(sha2(concat({key}, '|text|', {i}, '|', length({mine}), '|', {other}), 256)), h -> array_join(transform(filter(split({mine}, ''), e -> e <> ''), (c, k) -> {kinds}), '')), 1)"
 
 
 def _text(m: str, key: str) -> str:
@@ -134,7 +137,7 @@ def _text(m: str, key: str) -> str:
 
 
 def pseudonym_sql(m: str, key: str) -> str:
-    """SQL of the pseudonym of m, a string that FOUND matched; m itself if it isn't valid."""
+    """SQL of the pseudonym of m, a string that FOUND matched, under the SQL expression `key`; m itself if it isn't valid."""
     octets = " and ".join(f"cast(split({m}, '[.]')[{k}] as int) <= 255" for k in range(4))
     digits = f"length({_digits(m)})"
     return f"""case
@@ -152,14 +155,23 @@ def pseudonym_sql(m: str, key: str) -> str:
       else {m} end"""
 
 
-def pseudonymize(documents: DataFrame, key: str = "basaltql-key-1", count: str | None = "n_found") -> DataFrame:
+def pseudonymize(documents: DataFrame, key: str, count: str | None = "n_found") -> DataFrame:
     """The documents with personal data replaced by pseudonyms; `count` names a column for the number of replaced values (it replaces one of that name)."""
-    found, names = spare(documents, "_found", "_names")
-    docs = documents.withColumn(found, F.when(F.col("text").rlike("[0-9@]|[=:]|AKIA|ASIA"), F.expr(f"regexp_extract_all(text, {_q(FOUND)}, 0)")))
-    docs = docs.withColumn(names, F.expr(f"transform({found}, m -> {pseudonym_sql('m', key)})"))
+    if not key:
+        raise ValueError("a key is needed")
+    found, names, secret = spare(documents, "_found", "_names", "_secret")
+    held = documents.sparkSession.sql("SELECT col1 FROM VALUES (:key), (null)", args={"key": key})  # two rows: one would be folded into the plan
+    docs = documents.withColumn(secret, held.agg(F.max("col1")).scalar())
+    docs = docs.withColumn(found, F.when(F.col("text").rlike("[0-9@]|[=:]|AKIA|ASIA"), F.expr(f"regexp_extract_all(text, {_q(FOUND)}, 0)")))
+    docs = docs.withColumn(names, F.expr(f"transform({found}, m -> {pseudonym_sql('m', f'`{secret}`')})"))
     joined = F.expr(f"array_join(zip_with(split(text, {_q(FOUND)}, -1), {names}, (a, b) -> concat(a, coalesce(b, ''))), '')")
     docs = docs.withColumn("text", F.when(F.size(found) > 0, joined).otherwise(F.col("text")))
     if count:
         docs = docs.withColumn(count, F.coalesce(F.expr(f"size(filter(zip_with({found}, {names}, (a, b) -> a <> b), c -> c))"), F.lit(0)).cast("int"))
         docs = docs.withColumn(count, F.greatest(F.col(count), F.lit(0)))
-    return docs.drop(found, names)
+    return docs.drop(found, names, secret)
+
+
+def session_key(spark: SparkSession, default: str) -> str:
+    """The key that the session names in spark.basaltql.pii.key, or a default for tests and checks."""
+    return spark.conf.get("spark.basaltql.pii.key", None) or spark.sparkContext.getConf().get("spark.basaltql.pii.key") or default

@@ -1,24 +1,29 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame and SQL functions only.
 
 Documents are counted in cells (source, language, topic) of tokens.  Raking scales the cells' weights to the source,
-the language and the topic marginals in turn.  A weight is tokens * a(source) * b(language) * c(topic): a is found
-within each source's cells, and only the (language, topic) sums, a matrix of at most MATRIX cells (checked), reach the
-driver to give b and c.  A document is then kept with the probability of its cell, calibrated so that the expected
-tokens are `share` of all; the draw is a hash of doc_id, the same in every run and for all copies of a row.
+the language and the topic marginals in turn, until no marginal is off by more than TOLERANCE of its target or ROUNDS
+are done; one number a round reaches the driver, the cells stay in Spark however many they are.  A document is then kept
+with the probability of its cell, calibrated so that the expected tokens are `share` of all; the draw is a hash of
+doc_id, the same in every run and for all copies of a row.  The sums of a marginal, and the cells when they are joined
+to the documents, are broadcast only if they have been counted to at most BROADCAST rows.
 
 Targets are the observed marginals tempered by an exponent unless given.  Null source, language or topic is a class of
 its own ('<null>').  Null and empty texts have no tokens: their cells get probability 1 if nothing else is in them.  A
-null doc_id draws as the empty string.  Without a topic column the topic is read off the text's form.
+null doc_id draws as the empty string.  A table without documents gives none.  The topic is a column `topic`, or an
+expression that the caller gives; without either it is read off the text's form.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-ROUNDS, REFINE, SHARE, MATRIX = 12, 4, 0.5, 100_000
+ROUNDS, TOLERANCE, REFINE, SHARE, BROADCAST = 40, 1e-9, 4, 0.5, 100_000
+MARGINALS = ("_source", "_lang", "_topic")
 #: Exponents of the observed marginals.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 
@@ -36,51 +41,40 @@ def topic(text: Column) -> Column:
     )
 
 
-def classed(documents: DataFrame) -> DataFrame:
+def classed(documents: DataFrame, topic_of: Column | None = None) -> DataFrame:
     """The documents with _source, _lang, _topic and _tokens."""
     named = lambda c: F.coalesce(c.cast("string"), F.lit("<null>"))
-    own = F.col("topic") if "topic" in [c.lower() for c in documents.columns] else topic(F.coalesce("text", F.lit("")))
+    own = topic_of if topic_of is not None else F.col("topic") if "topic" in [c.lower() for c in documents.columns] else topic(F.coalesce("text", F.lit("")))
     return documents.withColumns({"_source": named(F.col("source")), "_lang": named(F.col("lang")), "_topic": named(own), "_tokens": tokens(F.col("text"))})
 
 
-def cell_weights(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def cell_weights(docs: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """_source, _lang, _topic, n (tokens) and w (the raked share of all tokens) of each cell with tokens."""
-    cells = cut(docs.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").cast("double").alias("n")).where("n > 0"))
-    matrix = cells.groupBy("_lang", "_topic").agg(F.sum("n").alias("n")).limit(MATRIX + 1).collect()
-    if len(matrix) > MATRIX:
-        raise ValueError(f"over {MATRIX} pairs of language and topic")
-
-    def tempered(key: str, at: str) -> dict[str, float]:
-        sums: dict[str, float] = {}
-        for r in matrix:
-            sums[r[at]] = sums.get(r[at], 0.0) + r.n
-        return {k: v ** TEMPER[key] for k, v in sums.items()}
-
-    want = {at: tempered(key, at) for key, at in (("lang", "_lang"), ("topic", "_topic"))}
-    want = {at: {k: v / sum(w.values()) for k, v in w.items()} for at, w in want.items()}
-    by = Window.partitionBy("_source")
-    sources = cells.groupBy("_source").agg(F.pow(F.sum("n"), F.lit(TEMPER["source"])).alias("t")).agg(F.sum("t")).first()[0] or 1.0
-    cells = cells.withColumn("t", F.pow(F.sum("n").over(by), F.lit(TEMPER["source"])) / sources)
-    b, c = dict.fromkeys(want["_lang"], 1.0), dict.fromkeys(want["_topic"], 1.0)
-
-    def factor(at: str, f: dict[str, float]) -> Column:
-        return F.element_at(F.create_map(*[F.lit(x) for pair in f.items() for x in pair]), F.col(at))
-
-    def weighed() -> DataFrame:
-        x = cells.withColumn("w", F.col("n") * factor("_lang", b) * factor("_topic", c) if b else F.col("n"))
-        return x.withColumn("w", F.col("w") * F.col("t") / F.sum("w").over(by))
-
+    cells = cut(docs.groupBy(*MARGINALS).agg(F.sum("_tokens").cast("double").alias("n")).where("n > 0"))
+    total, *sizes = cells.agg(F.sum("n"), *[F.countDistinct(at) for at in MARGINALS]).first()
+    small = dict(zip(MARGINALS, (n <= BROADCAST for n in sizes), strict=True))
+
+    def joined(x: DataFrame, sums: DataFrame, at: str) -> DataFrame:
+        return x.join(F.broadcast(sums) if small[at] else sums, at)
+
+    x = cells.withColumn("w", F.col("n") / (total or 1.0))
+    for at in MARGINALS:
+        want = cells.groupBy(at).agg(F.pow(F.sum("n"), F.lit(TEMPER[at[1:]])).alias(f"want{at}"))
+        whole = want.agg(F.sum(f"want{at}")).first()[0] or 1.0
+        x = joined(x, want.withColumn(f"want{at}", F.col(f"want{at}") / whole), at)
     for _ in range(rounds):
-        sums = {(r["_lang"], r["_topic"]): r.w for r in weighed().groupBy("_lang", "_topic").agg(F.sum("w").alias("w")).collect()}
-        for at, f, side in (("_lang", b, 0), ("_topic", c, 1)):
-            total: dict[str, float] = {}
-            for k, v in sums.items():
-                total[k[side]] = total.get(k[side], 0.0) + v
-            ratio = {k: want[at][k] / total[k] for k in total if total[k] > 0}
-            for k, v in ratio.items():
-                f[k] *= v
-            sums = {k: v * ratio.get(k[side], 1.0) for k, v in sums.items()}
-    return cut(weighed().select("_source", "_lang", "_topic", "n", "w"))
+        for at in MARGINALS:
+            x = joined(x, x.groupBy(at).agg(F.sum("w").alias("_sum")), at).withColumn("w", F.col("w") * F.col(f"want{at}") / F.col("_sum")).drop("_sum")
+        x = cut(x.select(*MARGINALS, "n", "w", *[f"want{at}" for at in MARGINALS]))
+        if marginal_error(x) <= tolerance:
+            break
+    return x.select(*MARGINALS, "n", "w")
+
+
+def marginal_error(x: DataFrame) -> float:
+    """The largest share by which a marginal of the raked cells is off its target."""
+    off = [x.groupBy(at).agg(F.abs(F.sum("w") / F.first(f"want{at}") - 1).alias("off")).agg(F.max("off").alias("off")) for at in MARGINALS]
+    return reduce(DataFrame.union, off).agg(F.max("off")).first()[0] or 0.0
 
 
 def probabilities(cells: DataFrame, share: float = SHARE) -> DataFrame:
@@ -95,12 +89,13 @@ def probabilities(cells: DataFrame, share: float = SHARE) -> DataFrame:
     return cells.withColumn("p", F.least(F.lit(1.0), F.col("w") * scale / F.col("n")))
 
 
-def mixed(documents: DataFrame, share: float = SHARE) -> DataFrame:
+def mixed(documents: DataFrame, share: float = SHARE, topic_of: Column | None = None) -> DataFrame:
     """All documents with _source, _lang, _topic, _tokens, probability and sampled (columns of these names are replaced)."""
-    docs = classed(documents)
-    cells = probabilities(cell_weights(docs), share).select("_source", "_lang", "_topic", F.col("p").alias("probability"))
+    docs = classed(documents, topic_of)
+    cells = cut(probabilities(cell_weights(docs), share).select(*MARGINALS, F.col("p").alias("probability")))
+    cells = F.broadcast(cells) if cells.count() <= BROADCAST else cells
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    docs = docs.drop("probability", "sampled").join(cells, ["_source", "_lang", "_topic"], "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
+    docs = docs.drop("probability", "sampled").join(cells, list(MARGINALS), "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
     return docs.withColumn("sampled", draw < F.col("probability")).select(*[c for c in documents.columns if c.lower() not in OWN], *OWN)
 
 
@@ -121,7 +116,7 @@ def oracle_sql(documents: str = "documents", rounds: int = ROUNDS, share: float
         ctes.append(f"m{x} AS (SELECT {x}, pow(sum(n), {TEMPER[key]}) / sum(pow(sum(n), {TEMPER[key]})) OVER () AS want FROM c GROUP BY {x})")
     ctes.append("r0 AS (SELECT c.*, ms.want AS ws, ml.want AS wl, mt.want AS wt, n AS w FROM c JOIN ms USING (s) JOIN ml USING (l) JOIN mt USING (t))")
     last = "r0"
-    steps = [x for _ in range(rounds) for x in "slt"] + ["s"]
+    steps = [x for _ in range(rounds) for x in "slt"]
     for i, x in enumerate(steps, 1):
         ctes.append(f"r{i} AS (SELECT * REPLACE (w * w{x} / sum(w) OVER (PARTITION BY {x}) AS w) FROM {last})")
         last = f"r{i}"

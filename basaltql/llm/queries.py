@@ -9,6 +9,10 @@ from .common import crc_mod, table
 from .suffix_dedup import kept_digest, suffix_dedup
 
 
+#: For checks and tests only; a session that pseudonymises real data sets spark.basaltql.pii.key.
+PII_KEY = "a key for checks, not a secret"
+
+
 def op1_suffix_dedup(spark, sf_dir):
     return kept_digest(suffix_dedup(table(spark, sf_dir, "documents")))
 
@@ -42,7 +46,7 @@ def op7_toxic_fst(spark, sf_dir):
 
 
 def op8_feistel_pii(spark, sf_dir):
-    return feistel_pii.pseudonymize(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found")
+    return feistel_pii.pseudonymize(table(spark, sf_dir, "documents"), feistel_pii.session_key(spark, PII_KEY)).select("doc_id", "text", "n_found")
 
 
 def op10_ipf_mix(spark, sf_dir):

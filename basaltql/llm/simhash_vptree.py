@@ -26,21 +26,31 @@ from .common import cut, spare, written
 SAMPLE, SHARD_POINTS, LEAF, STEP = 1 << 18, 30_000, 192, 1 << 15
 
 
-def fingerprint(text: bytes, words_each: int = 3) -> int:
-    """SimHash of a text's word shingles, as an unsigned 64-bit number."""
+def shingles(text: bytes, words_each: int) -> np.ndarray:
+    """XXH64 (seed 42) of a text's word shingles, repeats included (of fewer words: of all of them; of none: nothing)."""
     words = text.lower().split()
-    if not words:
-        return 0
+    k = min(words_each, len(words))
+    if not k:
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.append(0, ends[:-1] + 1)
-    k = min(words_each, len(words))
-    starts, ends = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for lo in range(0, len(starts), STEP):
-        h = np.array([digest(flat[a:b], 42) for a, b in zip(starts[lo : lo + STEP], ends[lo : lo + STEP], strict=True)], dtype=">u8")
+    starts = np.append(0, ends[:-1] + 1)[: len(words) - k + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(flat[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """The fingerprint of some shingle hashes, as an unsigned 64-bit number."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), STEP):
+        h = hashes[lo : lo + STEP].astype(">u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, words_each: int = 3) -> int:
+    """SimHash of a text's word shingles."""
+    return simhash(shingles(text, words_each))
 
 
 def fingerprints(documents: DataFrame, words_each: int = 3) -> DataFrame:
@@ -229,16 +239,12 @@ _SALT = (np.arange(1, VIEWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15
 
 
 def shingle_hashes(text: bytes, words_each: int = WORDS) -> np.ndarray:
-    """Sorted distinct XXH64 of a text's word shingles (of fewer words: of all of them)."""
-    words = text.lower().split()
-    flat = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    k = min(words_each, len(words))
-    if not k:
-        return np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)
-    starts = np.append(0, ends[:-1] + 1)[: len(words) - k + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(flat[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+    """Sorted distinct shingle hashes of a text; of one without words the hash of nothing."""
+    return distinct_hashes(shingles(text, words_each))
+
+
+def distinct_hashes(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes) if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)
 
 
 def view_prints(hashes: np.ndarray) -> np.ndarray:
@@ -261,38 +267,40 @@ def view_prints(hashes: np.ndarray) -> np.ndarray:
 
 
 def _text_key():
-    """64 bits that stand for a text (null and empty alike)."""
-    text = F.coalesce("text", F.lit(""))
-    return F.xxhash64(text, F.octet_length(text))
+    """The first 16 bytes of a text's SHA-256 (null and empty alike): they stand for the text at any number of texts."""
+    return F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 32))
 
 
 def similar(documents: DataFrame) -> DataFrame:
     """_key and _root: texts of one root are linked by similarity SIMILAR or more of their five-word shingles, singles left out.
 
-    Each text has VIEWS fingerprints; vantage-point trees link them at 2 bits or fewer.  Of every group so found all
-    pairs that could be similar and aren't joined yet are compared, on whole shingle sets: first with the group's
-    first text; then a group of up to GROUP texts in one task (`_group_links`); larger ones with texts already linked,
-    round by round while that joins any, and at last by prefixes (`_prefix_pairs`).  No similar pair of a group is
-    left out.
+    Candidates come from two sides.  Whole texts' SimHash fingerprints are linked by vantage-point trees at 2 bits or
+    fewer; and as texts at SIMILAR differ in some ten bits, where such trees can't prune, each text also has VIEWS
+    fingerprints of EACH shingles, and texts that have one in common are a group.  Of every group all pairs that could
+    be similar and aren't joined yet are compared, on whole shingle sets: first with the group's first text; then a
+    group of up to GROUP texts in one task (`_group_links`); larger ones with texts already linked, round by round
+    while that joins any, and at last by prefixes (`_prefix_pairs`).  No similar pair of a group is left out.
     """
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_rank")
     texts = documents.select(_text_key().alias("_key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), rank)
 
     def sketch(batches):
         for b in batches:
-            prints = [view_prints(shingle_hashes(t.as_buffer().to_pybytes())).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.list_(pa.int64()))], ["_key", "prints"])
-
-    prints = texts.select("_key", "text").mapInArrow(sketch, "_key long, prints array<long>").select("_key", F.explode("prints").alias("fp")).distinct()
-    prints = written(prints, "views")
-    points = prints.groupBy("fp").agg(F.min("_key").alias("least"), F.count("*").alias("n"))
-    points = written(points, "view-points")
-    roots = components(links(points, 2)).withColumnRenamed("node", "fp")
-    # groups of one fingerprint and one text need no look
-    groups = points.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    heads = groups.groupBy("root").agg(F.min("least").alias("head"), F.sum("n").alias("n")).where("n > 1")
-    members = groups.join(heads.select("root", "head"), "root").select("fp", "root", "head")
-    members = written(prints.join(members, "fp").select("root", "head", "_key").distinct(), "view-members")
+            whole, views = [], []
+            for t in b.column(1):
+                hashes = shingles(t.as_buffer().to_pybytes(), WORDS)
+                whole.append(simhash(hashes))
+                views.append(view_prints(distinct_hashes(hashes)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(views, pa.list_(pa.int64()))], ["_key", "fp", "views"])
+
+    prints = written(texts.select("_key", "text").mapInArrow(sketch, "_key binary, fp long, views array<long>").dropDuplicates(["_key"]), "views")
+    near = components(links(prints.select("fp").distinct(), 2)).withColumnRenamed("node", "fp")
+    whole = prints.select("_key", "fp").join(near, "fp", "left").select("_key", F.coalesce("root", "fp").alias("root"))
+    groups = whole.union(prints.select("_key", F.explode(F.array_distinct("views")).alias("root")))
+    # a group of one text needs no look
+    heads = groups.groupBy("root").agg(F.min("_key").alias("head"), F.max("_key").alias("_last")).where("head <> _last")
+    members = groups.join(heads.select("root", "head"), "root")
+    members = written(members.select("root", "head", "_key").distinct(), "view-members")
 
     def shingled(batches):
         for b in batches:
@@ -302,7 +310,7 @@ def similar(documents: DataFrame) -> DataFrame:
     asked = members.select("_key").distinct()
     # of copies one row is joined to the keys, so that a group of copies doesn't meet in a task
     ones = texts.groupBy("_key").agg(F.min("_rank").alias("_rank")).join(asked, "_key", "left_semi")
-    sets = texts.join(ones, ["_key", "_rank"], "left_semi").dropDuplicates(["_key"]).select("_key", "text").mapInArrow(shingled, "_key long, shingles binary")
+    sets = texts.join(ones, ["_key", "_rank"], "left_semi").dropDuplicates(["_key"]).select("_key", "text").mapInArrow(shingled, "_key binary, shingles binary")
     sets = written(sets, "view-sets")
 
     heads = members.select("root", "head").distinct()
@@ -330,13 +338,13 @@ def similar(documents: DataFrame) -> DataFrame:
         edges = edges.union(written(_verified(pairs, sets), "view-links"))
     large = now.groupBy("root").count().where(F.col("count") > GROUP).select("root")
     small = now.join(large, "root", "left_anti").join(sets, "_key").select("root", "_key", "part", "shingles")
-    edges = edges.union(small.repartition("root").sortWithinPartitions("root").mapInArrow(_group_links, "u long, v long"))
+    edges = edges.union(small.repartition("root").sortWithinPartitions("root").mapInArrow(_group_links, "u binary, v binary"))
     if left:
         edges = edges.union(_verified(written(_prefix_pairs(now.join(large, "root"), sets), "view-pairs"), sets))
     return components(edges).select(F.col("node").alias("_key"), F.col("root").alias("_root"))
 
 
-def _joined(keys: np.ndarray, part: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def _joined(keys: list[bytes], part: np.ndarray, sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
     """Links that join the parts of a group which similar texts connect; every pair not joined by then is compared."""
     size = np.array([len(x) for x in sets])
     starts = np.cumsum(size) - size
@@ -358,7 +366,7 @@ def _joined(keys: np.ndarray, part: np.ndarray, sets: list[np.ndarray]) -> list[
         for j in np.flatnonzero(near & (common >= SIMILAR * (size + size[h] - common))).tolist():
             todo.append(j)  # a linked text is the next to be compared
             if part[j] != part[h]:
-                out.append((int(keys[h]), int(keys[j])))
+                out.append((keys[h], keys[j]))
                 part[part == part[j]] = part[h]
     return out
 
@@ -369,7 +377,8 @@ def _group_links(batches):
     def links_of(t: pa.Table):
         root = t.column(0).to_numpy()
         cuts = [0, *(np.flatnonzero(root[1:] != root[:-1]) + 1).tolist(), len(root)]
-        keys, part, sets = t.column(1).to_numpy(), t.column(2).to_numpy().copy(), t.column(3).to_pylist()
+        keys, sets = t.column(1).to_pylist(), t.column(3).to_pylist()
+        part = np.unique(np.array(t.column(2).to_pylist(), "S16"), return_inverse=True)[1]
         out = [e for a, b in zip(cuts, cuts[1:], strict=False) for e in _joined(keys[a:b], part[a:b], [np.frombuffer(x, np.uint64) for x in sets[a:b]])]
         return _edges(out)
 
@@ -393,8 +402,8 @@ def _group_links(batches):
         yield links_of(pa.Table.from_batches(held))
 
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
+def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["u", "v"])
 
 
 def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -410,10 +419,10 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
                 part = b.slice(lo, 64)
                 own = [np.frombuffer(v.as_buffer(), np.int64) for v in part.column(3)]
                 n = np.array([len(x) for x in own])
-                rows = [pa.array(np.repeat(part.column(k).to_numpy(), n)) for k in range(3)]
+                rows = [part.column(k).take(pa.array(np.repeat(np.arange(len(n)), n))) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*rows, pa.array(np.repeat(n, n)), pa.array(np.concatenate(own))], ["root", "_key", "part", "size", "shingle"])
 
-    entries = members.join(sets, "_key").select("root", "_key", "part", "shingles").mapInArrow(each, "root long, _key long, part long, size long, shingle long")
+    entries = members.join(sets, "_key").select("root", "_key", "part", "shingles").mapInArrow(each, "root long, _key binary, part binary, size long, shingle long")
     entries = written(entries, "view-shingles")
     often = entries.groupBy("root", "shingle").agg(F.count("*").alias("n"))
     order = Window.partitionBy("root", "_key").orderBy("n", "shingle")
@@ -443,7 +452,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
 
-    return both.select("_key", "head", "shingles", "of_head").mapInArrow(verified, "u long, v long")
+    return both.select("_key", "head", "shingles", "of_head").mapInArrow(verified, "u binary, v binary")
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:

@@ -4,14 +4,16 @@ A byte goes if it lies in a 50-byte string that also starts in a document with a
 
 1. *Anchors.*  Every 50-byte window has one anchor, the leftmost least-hashed 24-byte piece in it.  Equal windows
    have equal anchors at equal places, so windows can be dealt to shards by their anchor and no match is lost.
-   Neighbouring windows with one anchor travel together as a run of bytes.  A task keeps, of equal runs, those of
-   the smallest document and marks the others at once: a passage in a third of all documents leaves each task once.
-   Shards first count the anchors' prints (a few bytes each) and answer with a bit; only runs whose anchor occurs
-   elsewhere travel.
-2. *Index family.*  A shard takes its documents in doc_id order in batches.  Each batch gets a suffix array: its
-   positions sorted by the first 50 bytes (the order of the bytes' 64-bit fingerprint, ties checked byte by byte).
-   The array is merge-scanned against the levels of older documents, the new suffixes form a level, and levels of
-   like size merge, so there are O(log n) of them.
+   Neighbouring windows with one anchor travel together as a run of bytes.  A task keeps, of runs that are equal byte
+   for byte, those of the smallest document and marks the others at once: a passage in a third of all documents leaves
+   each task once.  Shards first count the anchors' prints (a few bytes each) and answer; only runs whose anchor occurs
+   elsewhere travel.  The runs of an anchor that stands in over HOT runs are cut to SPLIT windows and dealt by the
+   bytes that these windows share, 47 of 50, so that a short line in all documents doesn't fill a shard.
+2. *Index family.*  In a shard equal runs are told first.  The windows of distinct runs that share an anchor with
+   another distinct run then go to a logarithmic family of suffix arrays, in doc_id order in batches.  Each batch gets
+   a suffix array: its suffixes in the order of their first 50 bytes, with the number of bytes that neighbours have in
+   common.  It is merge-scanned against the arrays of older documents, the suffixes that they don't hold form a new
+   level, and levels of like size merge, so there are O(log n) of them.
 3. *Marks* return to their documents as packed spans, in buckets of bounded size.
 
 Null text: empty.  Null doc_id: after all others, and no cause of removal.  Rows of one doc_id never affect each
@@ -24,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +35,13 @@ from .common import binary_buffers, text_bytes
 
 WINDOW, PIECE = 50, 24
 #: Bytes of text hashed at once, of runs in a shard, of text in a bucket; windows in a batch; text whose anchors one shard counts.
-BUFFER, SHARD_BYTES, BUCKET_BYTES, BATCH, ASKED_BYTES = 2 << 20, 32 << 20, 12 << 20, 1 << 20, 70 << 20
+BUFFER, SHARD_BYTES, BUCKET_BYTES, BATCH, ASKED_BYTES = 2 << 20, 32 << 20, 12 << 20, 1 << 20, 48 << 20
+#: Runs of an anchor from which on they are cut; windows of a cut run.
+HOT, SPLIT = 4000, 4
+#: Where the eight-byte words begin that hold a window's bytes, in the order in which they decide.
+WORDS = (0, 8, 16, 24, 32, 40, 42)
 LAST = np.iinfo(np.int64).max
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+MULTIPLIER, MIXER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 MARKS = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("stop", "<i8")])
 
 
@@ -97,8 +104,28 @@ def _segments(offsets: np.ndarray):
         yield part
 
 
+def _big_endian(raw: np.ndarray) -> np.ndarray:
+    """The eight-byte words at all places of a buffer, without a copy of each."""
+    raw = np.ascontiguousarray(raw)
+    return np.ndarray((max(0, len(raw) - 7),), ">u8", raw, strides=(1,)) if len(raw) > 7 else np.zeros(0, ">u8")
+
+
+def _words(text: np.ndarray, at: np.ndarray):
+    """The words of the windows at some places, in deciding order."""
+    for k in WORDS:
+        yield text[at + k].astype(np.uint64)
+
+
+def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the windows at a and b hold the same bytes."""
+    out = np.ones(len(a), bool)
+    for x, y in zip(_words(text, a), _words(text, b), strict=True):
+        out &= x == y
+    return out
+
+
 def _runs(raw: np.ndarray, part: list, mult: int):
-    """Runs of windows with one anchor: buffer, start in it, number of windows, anchor's fingerprint, two fingerprints of the run."""
+    """Runs of windows with one anchor: buffer, start in it, number of windows, anchor's place and fingerprint, a fingerprint of the run."""
     sizes = np.array([e - s for _, s, e in part])
     buf = np.concatenate([raw[s:e] for _, s, e in part])
     base = np.concatenate([[0], np.cumsum(sizes)])
@@ -119,7 +146,24 @@ def _runs(raw: np.ndarray, part: list, mult: int):
     stop = np.minimum(last, np.append(bad, n)[np.searchsorted(bad, start)])
     seg = np.searchsorted(base, start, side="right") - 1
     whole = _prints(buf, WINDOW, mult)
-    return buf, start, stop - start, pieces[anchor[start]], whole[start], whole[stop - 1], seg, base
+    return buf, start, stop - start, anchor[start], pieces[anchor[start]], _mix(whole[start] ^ _mix(whole[stop - 1])), seg, base
+
+
+def _classes(text: np.ndarray, at: np.ndarray, n: np.ndarray, prints: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each run the first, in `order`, of those with the same bytes (their first and last windows hold them all).
+
+    Prints only bring candidates together: a run that differs from the first of its print stands for itself.
+    """
+    by = order[np.lexsort((n[order], prints[order]))]
+    new = np.ones(len(by), bool)
+    new[1:] = (prints[by[1:]] != prints[by[:-1]]) | (n[by[1:]] != n[by[:-1]])
+    first = np.empty(len(by), np.int64)
+    first[by] = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+    other = np.flatnonzero(first != np.arange(len(first)))
+    head = first[other]
+    same = _equal(text, at[other], at[head]) & _equal(text, at[other] + n[other] - 1, at[head] + n[head] - 1)
+    first[other[~same]] = other[~same]
+    return first
 
 
 def _parts(docs: pa.Table):
@@ -129,18 +173,13 @@ def _parts(docs: pa.Table):
     rows = docs.column("row").to_numpy()
     offsets, raw = binary_buffers(docs.column("text").chunk(0)) if docs.num_rows else (np.zeros(1, np.int64), np.zeros(0, np.uint8))
     for number, part in enumerate(_segments(offsets)):
-        buf, start, n, anchor, h1, h2, seg, base = _runs(raw, part, MULTIPLIERS[0])
+        buf, start, n, anchor, piece, prints, seg, base = _runs(raw, part, MULTIPLIER)
         row = np.array([r for r, _, _ in part])[seg]
         first = np.array([s for _, s, _ in part])[seg] - base[seg] - offsets[row] + start
         doc = ids[row]
         # of equal runs, those of the smallest document stand for all
-        order = np.lexsort((doc, n, h2, h1))
-        new = np.ones(len(order), bool)
-        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]) | (n[order][1:] != n[order][:-1])
-        least = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        stand = np.empty(len(order), bool)
-        stand[order] = doc[order] == least
-        yield number, buf, start, n, _mix(anchor * np.uint64(MULTIPLIERS[1])), doc, rows[row], first, stand
+        heads = _classes(_big_endian(buf), start, n, prints, np.argsort(doc, kind="stable"))
+        yield number, buf, start, n, anchor, _mix(piece * np.uint64(MIXER)), doc, rows[row], first, doc == doc[heads]
 
 
 def _offered(mixed: np.ndarray, stand: np.ndarray, shards: int):
@@ -159,7 +198,7 @@ def _offer(shards: int):
 
     def offer(docs: pa.Table) -> pa.Table:
         out = []
-        for number, _, _, _, mixed, _, _, _, stand in _parts(docs):
+        for number, _, _, _, _, mixed, _, _, _, stand in _parts(docs):
             for shard, _, low in _offered(mixed, stand, shards):
                 step = np.diff(low, prepend=np.uint64(0))
                 out.append((shard, docs.column("bucket")[0].as_py(), number, _pack(np.ascontiguousarray(step.view("u1").reshape(-1, 8).T[:5]))))
@@ -170,7 +209,7 @@ def _offer(shards: int):
 
 
 def _twins(table: pa.Table) -> pa.Table:
-    """Which of the offered anchors occur more than once: a bit each, back to the bucket that asked."""
+    """How often the offered anchors occur, back to the bucket that asked: 0 once, 1 more often, 2 in over HOT runs."""
     lows = []
     for x in table.column("prints"):
         planes = _unpack(x.as_py(), "u1").reshape(5, -1)
@@ -179,39 +218,58 @@ def _twins(table: pa.Table) -> pa.Table:
         lows.append(np.cumsum(step.reshape(-1).view("<u8")))
     low = np.concatenate(lows)
     order = np.argsort(low, kind="stable")
-    twin = np.zeros(len(low), bool)
-    equal = low[order][1:] == low[order][:-1]
-    twin[1:] |= equal
-    twin[:-1] |= equal
-    back = np.empty_like(twin)
-    back[order] = twin
-    bits = [_pack(np.packbits(b)) for b in np.split(back, np.cumsum([len(x) for x in lows])[:-1])]
-    return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "shard": table.column("shard"), "bits": pa.array(bits, pa.binary())})
+    head = np.flatnonzero(np.append(True, low[order][1:] != low[order][:-1]))
+    size = np.diff(np.append(head, len(low)))
+    often = np.empty(len(low), np.uint8)
+    often[order] = np.repeat((size > 1).astype(np.uint8) + (size > HOT), size)
+    codes = [_pack(c) for c in np.split(often, np.cumsum([len(x) for x in lows])[:-1])]
+    return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "shard": table.column("shard"), "codes": pa.array(codes, pa.binary())})
+
+
+def _cut(own: np.ndarray, start: np.ndarray, n: np.ndarray, anchor: np.ndarray):
+    """(run, start, windows, place of the bytes that its windows share) of runs cut at every SPLIT-th place before their anchor."""
+    run = np.repeat(own, n[own])
+    inner = np.arange(len(run)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+    at = start[run] + inner
+    group = (anchor[run] - at) // SPLIT
+    edge = np.ones(len(run), bool)
+    edge[1:] = (run[1:] != run[:-1]) | (group[1:] != group[:-1])
+    head = np.flatnonzero(edge)
+    return run[head], at[head], np.diff(np.append(head, len(run))), anchor[run[head]] - SPLIT * group[head]
 
 
 def _send(asked: int, shards: int):
     """Sends the runs whose anchor occurs elsewhere to the shards that hold the index family; marks what is known already."""
 
-    def send(docs: pa.Table, bits: pa.Table) -> pa.Table:
-        answer = {(p, s): b for p, s, b in zip(bits.column("part").to_pylist(), bits.column("shard").to_pylist(), bits.column("bits").to_pylist(), strict=True)}
+    def send(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        answer = {(p, s): c for p, s, c in zip(*(answers.column(k).to_pylist() for k in ("part", "shard", "codes")), strict=True)}
         out = []
-        for number, buf, start, n, mixed, doc, row, first, stand in _parts(docs):
+        for number, buf, start, n, anchor, mixed, doc, row, first, stand in _parts(docs):
             known = np.flatnonzero(~stand)
             if len(known):
                 marks = np.empty(len(known), MARKS)
                 marks["doc"], marks["row"], marks["start"] = doc[known], row[known], first[known]
                 marks["stop"] = first[known] + n[known] + WINDOW - 1
                 out.append((int(mixed[known[0]] % np.uint64(shards)), 1, b"", b"", b"", b"", _pack(marks)))
-            picked = [own[np.unpackbits(_unpack(answer[number, s], "u1"), count=len(own)).astype(bool)] for s, own, _ in _offered(mixed, stand, asked)]
-            send = np.sort(np.concatenate(picked)) if picked else np.zeros(0, int)
-            shard = (_mix(mixed[send]) % np.uint64(shards)).astype(np.int64)
+            often = np.zeros(len(start), np.uint8)
+            for s, own, _ in _offered(mixed, stand, asked):
+                often[own] = _unpack(answer[number, s], "u1")
+            whole, hot = np.flatnonzero(often == 1), np.flatnonzero(often == 2)
+            run, at, size, shared = _cut(hot, start, n, anchor)
+            key = _mix(mixed)
+            if len(run):
+                key_of = _mix(_prints(buf, WINDOW - SPLIT + 1, MULTIPLIER)[shared])
+                run, at, size, key = np.append(whole, run), np.append(start[whole], at), np.append(n[whole], size), np.append(key[whole], key_of)
+            else:
+                run, at, size, key = whole, start[whole], n[whole], key[whole]
+            shard = (key % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            send, shard = send[order], shard[order]
-            for own in np.split(send, np.flatnonzero(np.diff(shard)) + 1):
+            for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
                 if len(own):
-                    (used, at), size = np.unique(np.stack([doc[own], row[own]]), axis=1, return_inverse=True), n[own] + WINDOW - 1
-                    spot = np.repeat(start[own] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-                    out.append((int(_mix(mixed[own[:1]])[0] % np.uint64(shards)), 0, _pack(np.ascontiguousarray(used)), _pack(at.astype(np.uint32)), _pack(first[own].astype(np.int64)), _pack(n[own].astype(np.uint8)), _pack(buf[spot])))
+                    r, length = run[own], size[own] + WINDOW - 1
+                    (used, of), begin = np.unique(np.stack([doc[r], row[r]]), axis=1, return_inverse=True), first[r] + at[own] - start[r]
+                    spot = np.repeat(at[own] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+                    out.append((int(shard[own[0]]), 0, _pack(np.ascontiguousarray(used)), _pack(of.astype(np.uint32)), _pack(begin.astype(np.int64)), _pack(size[own].astype(np.uint8)), _pack(buf[spot])))
         cols = list(zip(*out, strict=True)) or [()] * 7
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("shard", "kind", "docs", "at", "first", "n", "data"), cols, (pa.int64(), pa.int32(), *[pa.binary()] * 5), strict=True)})
 
@@ -221,87 +279,143 @@ def _send(asked: int, shards: int):
 SHARD_SCHEMA = "shard long, kind int, docs binary, at binary, first binary, n binary, data binary"
 
 
-class Collision(Exception):
-    """Two different strings had one fingerprint."""
+class SuffixArray:
+    """Distinct suffixes of a buffer in the order of their first 50 bytes, with the smallest document that holds each."""
+
+    def __init__(self, text: np.ndarray, pos: np.ndarray, doc: np.ndarray):
+        self.text, self.pos, self.doc = text, pos, doc
+        self.first = next(_words(text, pos))  # the first eight bytes, at hand for searches
+
+    def __len__(self):
+        return len(self.pos)
+
+    def common(self) -> np.ndarray:
+        """How many of the first 50 bytes each suffix has in common with the one before it."""
+        out, live = np.zeros(len(self), np.int64), np.ones(max(0, len(self) - 1), bool)
+        for k, word in zip(WORDS, _words(self.text, self.pos), strict=True):
+            differ = word[1:] ^ word[:-1]
+            here = live & (differ != 0)
+            out[1:][here] = k + sum((differ[here] >> np.uint64(8 * b) == 0).astype(int) for b in range(8))
+            live &= differ == 0
+        out[1:][live] = WINDOW
+        return out
+
+    def place(self, other: SuffixArray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the suffixes of another array belong in this one, and whether this one holds them: a merge scan.
+
+        The first words' places bound a range each; words decide in turn within what is left of it.
+        """
+        lo = np.searchsorted(self.first, other.first, side="left")
+        hi = np.searchsorted(self.first, other.first, side="right")
+        for k in WORDS[1:]:
+            live = np.flatnonzero(hi > lo)
+            if not len(live):
+                break
+            asked = other.text[other.pos[live] + k].astype(np.uint64)
+            ends = []
+            for upper in (False, True):
+                a, b = lo[live].copy(), hi[live].copy()
+                while True:
+                    todo = np.flatnonzero(a < b)
+                    if not len(todo):
+                        break
+                    mid = (a[todo] + b[todo]) // 2
+                    word = self.text[self.pos[mid] + k].astype(np.uint64)
+                    right = word <= asked[todo] if upper else word < asked[todo]
+                    a[todo[right]], b[todo[~right]] = mid[right] + 1, mid[~right]
+                ends.append(a)
+            lo[live], hi[live] = ends
+        return lo, hi > lo
+
+
+def suffix_array(text: np.ndarray, pos: np.ndarray, doc: np.ndarray) -> tuple[SuffixArray, np.ndarray]:
+    """The suffix array of some places, and which of its suffixes each place has."""
+    table = pa.table({**{f"w{k}": w for k, w in enumerate(_words(text, pos))}, "doc": doc})
+    order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in table.column_names]).to_numpy().astype(np.int64)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for name in table.column_names[:-1]:
+        word = table.column(name).to_numpy()[order]
+        new[1:] |= word[1:] != word[:-1]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    head = order[new]
+    return SuffixArray(text, pos[head], doc[head]), which
 
 
 class SuffixFamily:
-    """Levels of suffix arrays over one byte buffer; a level holds (fingerprint, smallest document, position) sorted by fingerprint."""
+    """Levels of suffix arrays over one buffer, each at least twice the size of the next; a suffix is in one of them."""
 
     def __init__(self, raw: np.ndarray):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.words = np.ndarray(shape=(max(0, len(raw) - 7),), dtype="<u8", buffer=raw.tobytes(), strides=(1,)) if len(raw) > 7 else np.zeros(0, "<u8")
-
-    def _same(self, a: np.ndarray, b: np.ndarray) -> None:
-        for k in (*range(0, WINDOW - 8, 8), WINDOW - 8):
-            if not np.array_equal(self.words[a + k], self.words[b + k]):
-                raise Collision
-
-    def add(self, prints: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        """Adds a batch whose documents are in order and not before those added; true for each suffix found in an older document."""
-        order = np.argsort(prints, kind="stable")
-        f = prints[order]
-        new = np.ones(len(f), bool)
-        new[1:] = f[1:] != f[:-1]
-        head = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        uf, ud, up = f[head], doc[order][head], pos[order][head]
-        later = np.flatnonzero(~new)
-        self._same(pos[order][later], up[group[later]])
-        fresh = np.ones(len(uf), bool)
-        for lf, ld, lp in self.levels:
-            at = np.minimum(np.searchsorted(lf, uf), len(lf) - 1)
-            hit = np.flatnonzero(lf[at] == uf)
-            self._same(up[hit], lp[at[hit]])
-            ud[hit], fresh[hit] = ld[at[hit]], False
-        found = np.empty(len(f), bool)
-        found[order] = doc[order] > ud[group]
+        self.text, self.levels = _big_endian(raw), []
+
+    def add(self, pos: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Adds a batch whose documents are not before those added; true for each place whose 50 bytes an older document holds."""
+        batch, which = suffix_array(self.text, pos, doc)
+        least, fresh = batch.doc.copy(), np.ones(len(batch), bool)
+        for level in self.levels:
+            at, held = level.place(batch)
+            least[held] = level.doc[at[held]]
+            fresh &= ~held
         if fresh.any():
-            self.levels.append((uf[fresh], ud[fresh], up[fresh]))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            pair = [np.concatenate(x) for x in zip(self.levels[-2], self.levels[-1], strict=True)]
-            order = np.argsort(pair[0], kind="stable")
-            self.levels[-2:] = [tuple(x[order] for x in pair)]
-        return found
+            self.levels.append(SuffixArray(self.text, batch.pos[fresh], batch.doc[fresh]))
+        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
+            old, new = self.levels[-2:]
+            at, _ = old.place(new)
+            self.levels[-2:] = [SuffixArray(self.text, np.insert(old.pos, at, new.pos), np.insert(old.doc, at, new.doc))]
+        return doc > least[which]
+
+
+def _anchors(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Prints of the anchors of the windows at some places."""
+    out = []
+    for lo in range(0, len(at), 1 << 15):
+        own = raw[at[lo : lo + (1 << 15), None] + np.arange(WINDOW)]
+        pieces = _prints(own.reshape(-1), PIECE, MULTIPLIER)
+        pieces = pieces[(np.arange(len(own)) * WINDOW)[:, None] + np.arange(WINDOW - PIECE + 1)]
+        out.append(pieces[np.arange(len(own)), (_mix(pieces) >> np.uint64(32)).argmin(axis=1)])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def _resolve(docs, rows, first, n, raw, at) -> np.ndarray:
     """Marks of one shard: runs in doc order, `at` their place in raw."""
-    for mult in MULTIPLIERS:
-        try:
-            family, out, lo = SuffixFamily(raw), [], 0
-            ends = np.cumsum(n)
-            while lo < len(n):
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BATCH, side="right")))
-                k = n[lo:hi]
-                run = np.repeat(np.arange(lo, hi), k)
-                inner = np.arange(len(run)) - np.repeat(np.cumsum(k) - k, k)
-                prints = _gathered(raw, at[lo:hi], k, mult)
-                found = family.add(prints, docs[run], at[run] + inner)
-                edge = np.ones(len(run), bool)
-                edge[1:] = (run[1:] != run[:-1]) | (found[1:] != found[:-1])
-                head = np.flatnonzero(edge)
-                tail = np.append(head[1:], len(run)) - 1
-                keep = found[head]
-                head, tail = head[keep], tail[keep]
-                marks = np.empty(len(head), MARKS)
-                marks["doc"], marks["row"] = docs[run[head]], rows[run[head]]
-                marks["start"], marks["stop"] = first[run[head]] + inner[head], first[run[head]] + inner[tail] + WINDOW
-                out.append(marks)
-                lo = hi
-            return np.concatenate(out) if out else np.empty(0, MARKS)
-        except Collision:
-            continue
-    raise RuntimeError("three fingerprints collided; raise the number of multipliers")
-
-
-def _gathered(raw, at, n, mult):
-    """Fingerprints of the windows of some runs."""
-    size = n + WINDOW - 1
-    begin = np.cumsum(size) - size
-    own = raw[np.repeat(at - begin, size) + np.arange(size.sum())]
-    h = _prints(own, WINDOW, mult)
-    return h[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    text = _big_endian(raw)
+    prints = np.zeros(len(n), np.uint64)
+    for word, last in zip(_words(text, at), _words(text, at + n - 1), strict=True):
+        prints = _mix((prints ^ word) * np.uint64(MULTIPLIER) + _mix(last))
+    heads = _classes(text, at, n, prints, np.arange(len(n)))
+    late = np.flatnonzero(docs > docs[heads])  # the whole run stands in an older document
+    whole = np.empty(len(late), MARKS)
+    whole["doc"], whole["row"], whole["start"] = docs[late], rows[late], first[late]
+    whole["stop"] = first[late] + n[late] + WINDOW - 1
+    out = [whole]
+    # distinct runs that share their anchor with another one
+    own = np.flatnonzero(heads == np.arange(len(n)))
+    _, back, often = np.unique(_anchors(raw, at[own]), return_inverse=True, return_counts=True)
+    own = own[often[back] > 1]
+    # runs that stand for a distinct one: it, and its copies in the same document
+    stand = np.flatnonzero(docs == docs[heads])
+    stand = stand[np.argsort(heads[stand], kind="stable")]
+    family, lo, ends = SuffixFamily(raw), 0, np.cumsum(n[own])
+    while lo < len(own):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BATCH, side="right")))
+        k = n[own[lo:hi]]
+        run = np.repeat(own[lo:hi], k)
+        inner = np.arange(len(run)) - np.repeat(np.cumsum(k) - k, k)
+        found = family.add(at[run] + inner, docs[run])
+        edge = np.ones(len(run), bool)
+        edge[1:] = (run[1:] != run[:-1]) | (found[1:] != found[:-1])
+        head = np.flatnonzero(edge)
+        tail = np.append(head[1:], len(run)) - 1
+        head, tail = head[found[head]], tail[found[head]]
+        a, b = (np.searchsorted(heads[stand], run[head], side=side) for side in ("left", "right"))
+        who = stand[np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange((b - a).sum())]
+        marks = np.empty(len(who), MARKS)
+        marks["doc"], marks["row"] = docs[who], rows[who]
+        marks["start"], marks["stop"] = first[who] + np.repeat(inner[head], b - a), first[who] + np.repeat(inner[tail], b - a) + WINDOW
+        out.append(marks)
+        lo = hi
+    return np.concatenate(out)
 
 
 def _family_of_shard(buckets: int):
@@ -376,11 +490,12 @@ def suffix_dedup(documents: DataFrame) -> DataFrame:
     total = text_bytes(documents)
     buckets, asked, shards = max(8, total // BUCKET_BYTES), max(1, total // ASKED_BYTES), max(1, total * 9 // 2 // SHARD_BYTES)
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    dealt = docs.withColumn("bucket", F.pmod(F.shiftright("row", 1), F.lit(buckets))).groupBy("bucket")
+    # as many tasks as buckets and shards, so that what a task reads is the same at every size
+    dealt = docs.withColumn("bucket", F.pmod(F.shiftright("row", 1), F.lit(buckets))).repartition(buckets, "bucket").groupBy("bucket")
     prints = dealt.applyInArrow(_offer(asked), "shard long, bucket long, part long, prints binary")
-    bits = prints.groupBy("shard").applyInArrow(_twins, "bucket long, part long, shard long, bits binary")
-    runs = dealt.cogroup(bits.groupBy("bucket")).applyInArrow(_send(asked, shards), SHARD_SCHEMA)
-    marks = runs.groupBy("shard").applyInArrow(_family_of_shard(buckets), "bucket long, marks binary")
+    answers = prints.repartition(asked, "shard").groupBy("shard").applyInArrow(_twins, "bucket long, part long, shard long, codes binary")
+    runs = dealt.cogroup(answers.groupBy("bucket")).applyInArrow(_send(asked, shards), SHARD_SCHEMA)
+    marks = runs.repartition(shards, "shard").groupBy("shard").applyInArrow(_family_of_shard(buckets), "bucket long, marks binary")
     return dealt.cogroup(marks.groupBy("bucket")).applyInArrow(_apply, OUT_SCHEMA)
 
 
