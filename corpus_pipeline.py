@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from basaltql.llm import decontaminate, feistel_pii, ipf_mix, simhash_vptree, toxic_fst
 from basaltql.llm.common import crc_mod, table, written
+from basaltql.llm.queries import PII_KEY
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return feistel_pii.pseudonymize(docs, count=None)
+    return feistel_pii.pseudonymize(docs, feistel_pii.session_key(spark, PII_KEY), count=None)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
