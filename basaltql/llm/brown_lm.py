@@ -1,14 +1,19 @@
 """Language-model scoring with Brown class-based bigrams.
 
-P(w | w') = P(class(w) | class(w')) * P(w | class(w)).  Words are grouped by exchange: every word has a profile, the
-counts of its left and right neighbours' marker classes (the most frequent words, a class each, and one for the
-rest); a round moves each word to the class under whose profile its own is likeliest, all words at once against the
-classes of the round before.  Transitions are interpolated (Witten-Bell), emissions smoothed by 0.1.  A word that
-training didn't see is one further type, as in the base score, with the Good-Turing mass of the words seen once.
+P(w | w') = P(class(w) | class(w')) * P(w | class(w)).  Words are grouped by exchange on the class-bigram likelihood:
+the most frequent words begin with a class each and the rest with one in common.  In a round every word's profile, the
+counts of its left and right neighbours' classes, is counted under the classes of the round, and so are the class
+bigrams and their log likelihood.  Then words move to the class whose neighbours make theirs likeliest: all in the first
+round, afterwards one half of the words after the other (by hash), since words that move at once don't see each other's
+move.  Of the states of all rounds the one with the greatest likelihood counts, so the likelihood never falls; rounds end
+when it grows by less than ENOUGH or ROUNDS are done.  Transitions are interpolated (Witten-Bell), emissions smoothed by
+0.1.  A word that training didn't see is one further type, as in the base score, with the Good-Turing mass of the words
+seen once.
 
 Nothing that grows with the vocabulary is broadcast or collected.  Texts are cut in blocks; a block sends its
 distinct words (64-bit hashes) and their training counts to shards of the vocabulary and is answered with numbers,
-counts and classes.  Only matrices over classes, of fixed size, reach the driver.
+counts and classes.  Only matrices over classes, of fixed size, reach the driver.  Blocks are kept in a table bucketed
+by block, so that a round moves classes and counts but no text.
 
 Null and empty texts hold the end token alone.  A null doc_id counts as the empty string for the fold and stays null.
 Repeated rows are scored alike and count each time.  Extra columns are ignored.
@@ -16,6 +21,8 @@ Repeated rows are scored alike and count each time.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,10 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, written
+from .common import dropped, released, shared_dir, written
 
-CLASSES, ROUNDS, BLOCK_BYTES, SHARD_TEXT = 64, 4, 6 << 20, 24 << 20
-#: Classes that are given: the end of a text, unseen words, words that aren't markers (while profiles are counted).
+#: SHARD_WORDS: words that blocks ask one shard for.  ENOUGH: growth of the log likelihood, as a share, at which rounds end.
+CLASSES, ROUNDS, ENOUGH, BLOCK_BYTES, SHARD_WORDS = 64, 4, 1e-4, 6 << 20, 400_000
+#: Classes that are given: the end of a text, unseen words, words without a class of their own at the beginning.
 END, UNSEEN, REST, FIRST = 0, 1, 2, 3
 END_HASH = xxhash.xxh64_intdigest(b" ", 7)  # a blank is no word
 SMOOTH = 0.1
@@ -64,7 +72,7 @@ def _batch(names_types: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t.split("<")[0]]) for c, (_, t) in zip(cols, fields, strict=True)], [n for n, _ in fields])
 
 
-BLOCKS = "block long, docs binary, tokens binary, words binary, counts binary"
+BLOCKS = "block long, docs binary, tokens binary, words binary, counts binary, n_words long"
 
 
 def _blocks(batches):
@@ -81,7 +89,7 @@ def _blocks(batches):
         d = np.array(docs, DOCS)
         t = rank[np.concatenate(tokens)]
         counts = np.bincount(t[np.repeat(d["train"], d["n"]).astype(bool)], minlength=len(order))
-        return _batch(BLOCKS, [(part + number, _pack(d), _pack_ints(t), _pack(hashes[order]), _pack_ints(counts))])
+        return _batch(BLOCKS, [(part + number, _pack(d), _pack_ints(t), _pack(hashes[order]), _pack_ints(counts), len(order))])
 
     for b in batches:
         for i, train, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -116,6 +124,7 @@ def _asks(shards: int):
 
 
 VOCAB = "shard long, block long, ids binary, counts binary, totals array<long>, top array<long>"
+STATE = "shard long, classes binary"
 
 
 def _vocabulary(t: pa.Table) -> pa.Table:
@@ -127,10 +136,10 @@ def _vocabulary(t: pa.Table) -> pa.Table:
     rows = []
     for block, own in zip(t.column("block").to_pylist(), np.split(ids, np.cumsum([len(w) for w in words])[:-1]), strict=True):
         rows.append((shard, block, _pack_ints(np.diff(own, prepend=0)), _pack_ints(count[own]), None, None))
-    top = np.argsort(-count, kind="stable")[: CLASSES - FIRST]
+    top = np.argsort(-count, kind="stable")[: CLASSES - FIRST + 1]
     end = np.flatnonzero(all_words == np.uint64(END_HASH))
     pairs = [x for i in top if count[i] and i not in end for x in (int(i), int(count[i]))]
-    rows.append((shard, -1, None, None, [int(count.sum()), int((count > 0).sum()), int((count == 1).sum()), int(end[0]) if len(end) else -1], pairs))
+    rows.append((shard, -1, None, _pack_ints(count), [int(count.sum()), int((count > 0).sum()), int((count == 1).sum()), int(end[0]) if len(end) else -1], pairs))
     return pa.Table.from_batches([_batch(VOCAB, rows)])
 
 
@@ -139,13 +148,29 @@ def _by_place(rows: pa.Table) -> list[dict]:
     return sorted(rows.to_pylist(), key=lambda r: r["shard"])
 
 
-def _marked(ids: np.ndarray, counts: np.ndarray, shard: int, markers: dict[tuple[int, int], int]) -> np.ndarray:
-    """Marker classes of a shard's words."""
-    cls = np.where(counts > 0, REST, UNSEEN)
-    for (s, i), c in markers.items():
-        if s == shard:
-            cls[ids == i] = c
-    return cls
+def _begin(markers: dict[tuple[int, int], int]):
+    """The classes before the first round, a shard's words at a time."""
+
+    def each(batches):
+        for b in batches:
+            for shard, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                cls = np.where(_unpack_ints(counts) > 0, REST, UNSEEN)
+                for (s, i), c in markers.items():
+                    if s == shard:
+                        cls[i] = c
+                yield _batch(STATE, [(shard, _pack(cls.astype("u1")))])
+
+    return each
+
+
+ANSWERS = "block long, shard long, ids binary, classes binary"
+
+
+def _answered(vocabulary: pa.Table, state: pa.Table) -> pa.Table:
+    """The classes of a shard's words, for each block that asked."""
+    cls = _unpack(state.column("classes")[0].as_py(), "u1") if state.num_rows else np.zeros(0, "u1")
+    rows = [(block, shard, ids, _pack(cls[np.cumsum(_unpack_ints(ids))])) for block, shard, ids in zip(*(vocabulary.column(c).to_pylist() for c in ("block", "shard", "ids")), strict=True)]
+    return pa.Table.from_batches([_batch(ANSWERS, rows)])
 
 
 def _sequence(block: dict, cls: np.ndarray):
@@ -158,85 +183,102 @@ def _sequence(block: dict, cls: np.ndarray):
     return d, t, doc, now, before
 
 
-CONTEXTS = "shard long, ids binary, cells binary, values binary"
+CONTEXTS = "shard long, ids binary, classes binary, cells binary, values binary"
 
 
-def _contexts(markers: dict[tuple[int, int], int]):
+def _contexts(blocks: pa.Table, answers: pa.Table) -> pa.Table:
     """Profiles of a block's words: counts of (word, side and class of the neighbour) in training texts."""
-
-    def each(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        out = []
-        for block in blocks.to_pylist():
-            rows = _by_place(answers)
-            ids = [np.cumsum(_unpack_ints(r["ids"])) for r in rows]
-            cls = np.concatenate([_marked(i, _unpack_ints(r["counts"]), r["shard"], markers) for i, r in zip(ids, rows, strict=True)])
-            d, t, doc, now, before = _sequence(block, cls)
-            train = d["train"][doc].astype(bool)
-            inner = train[1:] & (doc[1:] == doc[:-1])
-            key = np.concatenate([(t * (2 * CLASSES) + before)[train], (t[:-1] * (2 * CLASSES) + CLASSES + now[1:])[inner]])
-            key, n = np.unique(key, return_counts=True)
-            cuts = np.cumsum([0, *map(len, ids)])
-            at = np.searchsorted(key, cuts * (2 * CLASSES))
-            for k, r in enumerate(rows):
-                own = key[at[k] : at[k + 1]] - cuts[k] * 2 * CLASSES
-                out.append((r["shard"], r["ids"], _pack_ints(np.diff(own, prepend=0)), _pack_ints(n[at[k] : at[k + 1]])))
-        return pa.Table.from_batches([_batch(CONTEXTS, out)])
-
-    return each
-
-
-PROFILES = "shard long, size long, cells binary, values binary"
+    out = []
+    for block in blocks.to_pylist():
+        rows = _by_place(answers)
+        own = [_unpack(r["classes"], "u1") for r in rows]
+        d, t, doc, now, before = _sequence(block, np.concatenate(own).astype(np.int64))
+        train = d["train"][doc].astype(bool)
+        inner = train[1:] & (doc[1:] == doc[:-1])
+        key = np.concatenate([(t * (2 * CLASSES) + before)[train], (t[:-1] * (2 * CLASSES) + CLASSES + now[1:])[inner]])
+        key, n = np.unique(key, return_counts=True)
+        cuts = np.cumsum([0, *map(len, own)])
+        at = np.searchsorted(key, cuts * (2 * CLASSES))
+        for k, r in enumerate(rows):
+            cells = key[at[k] : at[k + 1]] - cuts[k] * 2 * CLASSES
+            out.append((r["shard"], r["ids"], r["classes"], _pack_ints(np.diff(cells, prepend=0)), _pack_ints(n[at[k] : at[k + 1]])))
+    return pa.Table.from_batches([_batch(CONTEXTS, out)])
+
+
+PROFILES = "shard long, classes binary, cells binary, values binary"
 
 
 def _profiles(t: pa.Table) -> pa.Table:
-    """A shard's profiles, summed over blocks, as sorted cells (word * 2 * CLASSES + feature) and values."""
-    size, cells, values = 0, [], []
-    for i, c, v in zip(*(t.column(n).to_pylist() for n in ("ids", "cells", "values")), strict=True):
+    """A shard's classes, and its profiles, summed over blocks, as sorted cells (word * 2 * CLASSES + feature) and values."""
+    cls, cells, values = np.zeros(0, "u1"), [], []
+    for i, k, c, v in zip(*(t.column(n).to_pylist() for n in ("ids", "classes", "cells", "values")), strict=True):
         ids, cell = np.cumsum(_unpack_ints(i)), np.cumsum(_unpack_ints(c))
-        size = max(size, int(ids[-1]) + 1)
+        if len(cls) <= ids[-1]:
+            cls = np.append(cls, np.full(ids[-1] + 1 - len(cls), UNSEEN, "u1"))
+        cls[ids] = _unpack(k, "u1")
         cells.append(ids[cell // (2 * CLASSES)] * (2 * CLASSES) + cell % (2 * CLASSES))
         values.append(_unpack_ints(v))
-    cell, back = np.unique(np.concatenate(cells), return_inverse=True)
-    value = np.bincount(back, np.concatenate(values), len(cell))
-    return pa.Table.from_batches([_batch(PROFILES, [(t.column("shard")[0].as_py(), size, _pack(np.diff(cell, prepend=0).astype("<i8")), _pack_ints(value))])])
-
-
-def _best(size: int, cells: bytes, values: bytes, likely: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, features, values, class of each word): the class that makes a word's profile likeliest; unseen words have none."""
-    cell, value = np.cumsum(_unpack(cells, "<i8")), _unpack_ints(values)
-    word, feature = cell // (2 * CLASSES), cell % (2 * CLASSES)
-    gain = np.zeros((size, CLASSES - FIRST))
-    for lo in range(0, len(cell), 1 << 17):
-        part = slice(lo, lo + (1 << 17))
-        head = np.flatnonzero(np.diff(word[part], prepend=-1))
-        sums = np.add.reduceat(value[part, None] * likely[feature[part]], head, axis=0) if len(head) else np.zeros((0, CLASSES - FIRST))
-        gain[word[part][head]] += sums
-    cls = gain.argmax(1) + FIRST
-    seen = np.zeros(size, bool)
-    seen[word] = True
-    return word, feature, value, np.where(seen, cls, UNSEEN)
-
-
-def _round(likely: np.ndarray, ends: tuple[int, int]):
-    """Profiles of the classes after all words have moved."""
+    cell = np.concatenate(cells)
+    order = np.argsort(cell, kind="stable")
+    cell, value = cell[order], np.concatenate(values)[order]
+    head = np.flatnonzero(np.diff(cell, prepend=-1))
+    value = np.add.reduceat(value, head) if len(head) else value
+    return pa.Table.from_batches([_batch(PROFILES, [(t.column("shard")[0].as_py(), _pack(cls), _pack(np.diff(cell[head], prepend=0).astype("<i8")), _pack_ints(value))])])
+
+
+def _profile_rows(batches):
+    """(shard, its words' classes, word, feature, value) of profile rows."""
+    for b in batches:
+        for shard, k, c, v in zip(*(b.column(n).to_pylist() for n in range(4)), strict=True):
+            cell = np.cumsum(_unpack(c, "<i8"))
+            yield shard, _unpack(k, "u1").astype(np.int64), cell // (2 * CLASSES), cell % (2 * CLASSES), _unpack_ints(v)
+
+
+def _bigrams(batches):
+    """How often each class stands beside each: (class, side and class of the neighbour)."""
+    for _, cls, word, feature, value in _profile_rows(batches):
+        sums = np.bincount(cls[word] * (2 * CLASSES) + feature, value, CLASSES * 2 * CLASSES)
+        yield _batch("cells array", [([int(x) for x in sums],)])
+
+
+def log_likelihood(counts: np.ndarray) -> float:
+    """Of the training texts' class bigrams, up to the words' own part, which no exchange changes."""
+    f = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    left = counts[:, :CLASSES]  # of each class, what stands before it
+    return f(left) - f(left.sum(0)) - f(left.sum(1))
+
+
+def _moves(likely: np.ndarray, turn: int):
+    """Each word's class for the next round: the likeliest, if it is the word's turn; given classes and unseen words stay."""
 
     def each(batches):
-        for b in batches:
-            for shard, size, c, v in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                word, feature, value, cls = _best(size, c, v, likely)
-                if shard == ends[0]:
-                    cls[ends[1]] = END
-                sums = np.bincount(cls[word] * (2 * CLASSES) + feature, value, CLASSES * 2 * CLASSES)
-                yield _batch("cells array", [([int(x) for x in sums],)])
+        for shard, cls, word, feature, value in _profile_rows(batches):
+            cls = cls.copy()
+            head = np.flatnonzero(np.diff(word, prepend=-1))
+            words = word[head]
+            for lo in range(0, len(words), 8192):
+                own = words[lo : lo + 8192]
+                part = slice(head[lo], head[lo + 8192] if lo + 8192 < len(head) else len(word))
+                dense = np.zeros((len(own), 2 * CLASSES))
+                dense[np.searchsorted(own, word[part]), feature[part]] = value[part]
+                best = (dense @ likely).argmax(1) + REST
+                may = cls[own] >= REST
+                if turn:
+                    may &= (own * 0x9E37 >> 3) % 2 == turn % 2
+                cls[own[may]] = best[may]
+            yield _batch(STATE, [(shard, _pack(cls.astype("u1")))])
 
     return each
 
 
-def _likely(profiles: np.ndarray) -> np.ndarray:
-    """log P(feature | class), per feature, of classes from FIRST on, with the overall distribution mixed in."""
-    overall = profiles.sum(0) + 1.0
-    p = profiles[FIRST:] + 20.0 * overall / overall.sum()
-    return np.log(p / p.sum(1, keepdims=True)).T
+def _likely(counts: np.ndarray) -> np.ndarray:
+    """log P(class beside | class), per side, of classes from REST on, with the overall distribution mixed in."""
+    out = []
+    for side in (counts[:, :CLASSES], counts[:, CLASSES:]):
+        overall = side.sum(0) + 1.0
+        p = side[REST:] + 20.0 * overall / overall.sum()
+        out.append(np.log(p / p.sum(1, keepdims=True)))
+    return np.concatenate(out, axis=1).T
 
 
 def _summed(df: DataFrame, size: int) -> np.ndarray:
@@ -250,29 +292,18 @@ def _summed(df: DataFrame, size: int) -> np.ndarray:
 CLASSED = "block long, shard long, counts binary, classes binary, sizes array<long>"
 
 
-def _classed(likely: np.ndarray, ends: tuple[int, int]):
+def _classed(vocabulary: pa.Table, state: pa.Table) -> pa.Table:
     """A shard's final classes, for each block, and each class's tokens and types."""
-
-    def each(vocabulary: pa.Table, profiles: pa.Table) -> pa.Table:
-        rows, cls, total = [], None, None
-        for p in profiles.to_pylist():
-            cls = _best(p["size"], p["cells"], p["values"], likely)[3]
-            if p["shard"] == ends[0]:
-                cls[ends[1]] = END
-        for r in vocabulary.to_pylist():
-            ids, counts = np.cumsum(_unpack_ints(r["ids"])), _unpack_ints(r["counts"])
-            if cls is None or len(cls) <= ids[-1]:
-                cls = np.append(cls if cls is not None else np.zeros(0, int), np.full(ids[-1] + 1 - (0 if cls is None else len(cls)), UNSEEN))
-            total = np.zeros(len(cls), np.int64) if total is None else np.append(total, np.zeros(max(0, len(cls) - len(total)), np.int64))
-            total[ids] = counts
-            rows.append((r["block"], r["shard"], r["counts"], _pack(cls[ids].astype("u1")), None))
-        if total is not None:
-            seen = total > 0
-            both = np.concatenate([np.bincount(cls[seen], total[seen], CLASSES), np.bincount(cls[seen], minlength=CLASSES)])
-            rows.append((-1, -1, None, None, [int(x) for x in both]))
-        return pa.Table.from_batches([_batch(CLASSED, rows)])
-
-    return each
+    cls = _unpack(state.column("classes")[0].as_py(), "u1").astype(np.int64) if state.num_rows else np.zeros(0, np.int64)
+    rows, total = [], np.zeros(len(cls), np.int64)
+    for r in vocabulary.to_pylist():
+        ids = np.cumsum(_unpack_ints(r["ids"]))
+        total[ids] = _unpack_ints(r["counts"])
+        rows.append((r["block"], r["shard"], r["counts"], _pack(cls[ids].astype("u1")), None))
+    seen = total > 0
+    both = np.concatenate([np.bincount(cls[seen], total[seen], CLASSES), np.bincount(cls[seen], minlength=CLASSES)])
+    rows.append((-1, -1, None, None, [int(x) for x in both]))
+    return pa.Table.from_batches([_batch(CLASSED, rows)])
 
 
 SEQUENCES = "docs binary, known binary, base binary, emitted binary, classes binary, cells array<long>"
@@ -329,46 +360,72 @@ def _scored(log_p: np.ndarray, tokens: int):
     return each
 
 
+def exchange(blocks: DataFrame, vocabulary: DataFrame, markers: dict[tuple[int, int], int], rounds: int = ROUNDS) -> tuple[DataFrame, list[float]]:
+    """(shard, classes) of the likeliest state, and the log likelihood of the states that were counted."""
+    answers = vocabulary.where("block >= 0").select("shard", "block", "ids")
+    own = blocks.select("block", "docs", "tokens").groupBy("block")
+    state = written(vocabulary.where("block < 0").select("shard", "counts").mapInArrow(_begin(markers), STATE), "brown-state")
+    best, found, before = state, [], None
+    for k in range(rounds):
+        asked = answers.groupBy("shard").cogroup(state.groupBy("shard")).applyInArrow(_answered, ANSWERS)
+        contexts = own.cogroup(asked.groupBy("block")).applyInArrow(_contexts, CONTEXTS)
+        profiles = written(contexts.groupBy("shard").applyInArrow(_profiles, PROFILES), "brown-profiles")
+        counts = _summed(profiles.mapInArrow(_bigrams, "cells array<long>"), CLASSES * 2 * CLASSES).reshape(CLASSES, -1)
+        now = log_likelihood(counts)
+        rises = not found or now > max(found)
+        enough = found and now - max(found) < ENOUGH * abs(max(found))
+        found.append(now)
+        if rises:
+            best = state
+        if rises:
+            if before is not None:
+                dropped(before[0])
+            before = (profiles, counts)
+        else:
+            dropped(profiles)  # these moves are taken back, and the other half's turn is next
+        if k + 1 == rounds or (enough and k > 2):
+            break
+        state = written(before[0].mapInArrow(_moves(_likely(before[1]), k), STATE), "brown-state")
+        released(blocks.sparkSession)
+    return best, found
+
+
+def _bucketed(df: DataFrame, key: str, buckets: int) -> str:
+    """The name of a table with df's rows in the shared folder, bucketed by a key, so that a cogroup by it doesn't move them."""
+    name = f"brown_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_dir(df.sparkSession)}/{name}").saveAsTable(name)
+    return name
+
+
 def score(documents: DataFrame, training: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; learns where `training` holds."""
+    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long"), training.cast("int").alias("train"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    blocks = written(docs.mapInArrow(_blocks, BLOCKS), "brown-blocks")
-    shards = max(1, text_bytes(documents) // SHARD_TEXT)
-    asks = blocks.select("block", "words", "counts").mapInArrow(_asks(shards), "shard long, block long, words binary, counts binary")
+    first = written(docs.mapInArrow(_blocks, BLOCKS), "brown-blocks")
+    asked, n_blocks = first.agg(F.sum("n_words"), F.count("*")).first()
+    shards = max(1, (asked or 0) // SHARD_WORDS)
+    name = _bucketed(first.select("block", "docs", "tokens"), "block", int(min(100_000, max(1, n_blocks))))
+    blocks = spark.table(name)
+    asks = first.select("block", "words", "counts").mapInArrow(_asks(shards), "shard long, block long, words binary, counts binary")
     vocabulary = written(asks.groupBy("shard").applyInArrow(_vocabulary, VOCAB), "brown-vocabulary")
-    answers = vocabulary.where("block >= 0")
+    dropped(first)
+    released(spark)
     t = vocabulary.where("block < 0").agg(*[F.sum(F.col("totals")[k]).alias(n) for k, n in enumerate(("tokens", "types", "once"))], F.max(F.when(F.col("totals")[3] >= 0, F.struct("shard", F.col("totals")[3].alias("id")))).alias("end")).first()
     tokens, types = int(t.tokens or 0), int(t.types or 0)
     ends = (t.end.shard, t.end.id) if t.end else (-1, 0)
     place = F.explode(F.sequence(F.lit(0), (F.size("top") / 2 - 1).cast("int"))).alias("k")
     top = vocabulary.where("block < 0 and size(top) > 0").select("shard", "top", place).select("shard", F.col("top")[F.col("k") * 2].alias("id"), F.col("top")[F.col("k") * 2 + 1].alias("n"))
     markers = {(r.shard, r.id): FIRST + k for k, r in enumerate(top.orderBy(F.desc("n"), "shard", "id").limit(CLASSES - FIRST).collect())} | {ends: END}
-    own = blocks.select("block", "docs", "tokens").groupBy("block")
-    contexts = own.cogroup(answers.select("block", "shard", "ids", "counts").groupBy("block")).applyInArrow(_contexts(markers), CONTEXTS)
-    profiles = written(contexts.groupBy("shard").applyInArrow(_profiles, PROFILES), "brown-profiles")
-    # a class begins with its marker's profile
-    want: dict[int, dict[int, int]] = {}
-    for (s, i), c in markers.items():
-        want.setdefault(s, {})[i] = c
-
-    def of_markers(batches):
-        for b in batches:
-            for shard, c, v in zip(*(b.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-                cell, value = np.cumsum(_unpack(c, "<i8")), _unpack_ints(v)
-                for i, cls in want.get(shard, {}).items():
-                    lo, hi = np.searchsorted(cell, [i * 2 * CLASSES, (i + 1) * 2 * CLASSES])
-                    yield _batch("cells array", [([int(x) for x in np.bincount(cls * 2 * CLASSES + cell[lo:hi] - i * 2 * CLASSES, value[lo:hi], CLASSES * 2 * CLASSES)],)])
-
-    marked = _summed(profiles.mapInArrow(of_markers, "cells array<long>"), CLASSES * 2 * CLASSES).reshape(CLASSES, -1)
-    for _ in range(ROUNDS):
-        marked = _summed(profiles.mapInArrow(_round(_likely(marked), ends), "cells array<long>"), CLASSES * 2 * CLASSES).reshape(CLASSES, -1)
-    classed = answers.select("shard", "block", "ids", "counts").groupBy("shard").cogroup(profiles.groupBy("shard")).applyInArrow(_classed(_likely(marked), ends), CLASSED)
-    classed = written(classed, "brown-classes")
+    state, _ = exchange(blocks, vocabulary, markers)
+    answers = vocabulary.where("block >= 0").select("shard", "block", "ids", "counts")
+    classed = written(answers.groupBy("shard").cogroup(state.groupBy("shard")).applyInArrow(_classed, CLASSED), "brown-classes")
     sizes = _summed(classed.where("block < 0").select(F.col("sizes").alias("cells")), 2 * CLASSES)
+    own = blocks.select("block", "docs", "tokens").groupBy("block")
     made = own.cogroup(classed.where("block >= 0").select("block", "shard", "counts", "classes").groupBy("block")).applyInArrow(_sequences(tokens, types, sizes[:CLASSES], sizes[CLASSES:]), SEQUENCES)
     made = written(made, "brown-sequences")
+    dropped(blocks)
+    spark.sql(f"DROP TABLE {name}")
     unseen = min(0.5, ((t.once or 0) + 1) / max(tokens, 1))
     log_p = transitions(_summed(made.select("cells"), CLASSES * CLASSES), unseen)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return made.select("docs", "known", "base", "emitted", "classes").mapInArrow(_scored(log_p, tokens), schema)
-

@@ -10,6 +10,8 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -54,8 +56,6 @@ def empty(spark):
 
 
 def test_op1_against_brute_force(docs, hard, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BUFFER", 4000)
-    monkeypatch.setattr(suffix_dedup, "BATCH", 3000)
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 9000)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 60000)
     monkeypatch.setattr(suffix_dedup, "ASKED_BYTES", 30000)
@@ -69,19 +69,28 @@ def test_op1_against_brute_force(docs, hard, monkeypatch):
             assert r.n_removed == r.n_bytes  # a copy of a document with an id
 
 
-@pytest.mark.parametrize("hot, split", [(0, 1), (0, 4), (2, 4)])
-def test_op1_hot_anchors_are_cut(docs, hard, monkeypatch, hot, split):
-    """A short line in every document, always in other surroundings."""
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
-    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 9000)
-    rnd = random.Random(21)
-    line = "All rights reserved by the authors of this text"
-    texts = [(i, f"{words(n=8, rnd=rnd)}{line}{rnd.choice(['. It', ' and', words(n=9, rnd=rnd)])}{words(n=6, rnd=rnd)}") for i in range(90)]
-    got = suffix_dedup.suffix_dedup(docs.sparkSession.createDataFrame(texts, "doc_id long, text string")).collect()
-    want = suffix_dedup.brute_force([(i, t.encode()) for i, t in texts])
-    assert {r.doc_id: (r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got} == want
-    assert sum(r.n_removed for r in got) > 0
+def test_op1_sizes_and_hot_anchors(monkeypatch):
+    """The operator's steps in this process, with small buffers and batches, and with the runs of frequent anchors cut."""
+    rnd = random.Random(3)
+    for trial in range(24):
+        for name, values in {"BUFFER": (300, 4000), "BATCH": (50, 3000), "HOT": (0, 2, 4000), "SPLIT": (1, 4, 7)}.items():
+            monkeypatch.setattr(suffix_dedup, name, rnd.choice(values))
+        alphabet = rnd.choice(["ab", "abcdefgh", "\0a"])
+        word = lambda n, alphabet=alphabet: "".join(rnd.choice(alphabet) for _ in range(n))
+        line, shared = word(45), [word(rnd.randint(20, 160)) for _ in range(6)]
+        texts = [(i, "".join(rnd.choice([word(rnd.randint(0, 80)), rnd.choice(shared), line + word(1)]) for _ in range(rnd.randint(0, 6))).encode()) for i in range(40)]
+        buckets, asked, shards, dealt = 3, 2, 4, {}
+        for i, t in texts:
+            row = 2 * (i * 7919 + 13)
+            dealt.setdefault(int(suffix_dedup._bucket(np.array([row]), buckets)[0]), []).append((i, t, row))
+        table = lambda b: pa.table({"doc_id": pa.array([x[0] for x in dealt[b]]), "text": pa.array([x[1] for x in dealt[b]], pa.binary()), "row": pa.array([x[2] for x in dealt[b]]), "bucket": pa.array([b] * len(dealt[b]))})  # noqa: B023, E731
+        by = lambda t, c: [(k, t.filter(pc.equal(t[c], k)).combine_chunks()) for k in sorted(set(t[c].to_pylist()))]
+        offers = pa.concat_tables([suffix_dedup._offer(asked)(table(b)) for b in dealt])
+        answers = pa.concat_tables([suffix_dedup._twins(t) for _, t in by(offers, "shard")])
+        sent = pa.concat_tables([suffix_dedup._send(asked, shards)(table(b), answers.filter(pc.equal(answers["bucket"], b))) for b in dealt])
+        marks = pa.concat_tables([suffix_dedup._family_of_shard(buckets)(t) for _, t in by(sent, "shard")])
+        got = {r["doc_id"]: (r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for b in dealt for r in suffix_dedup._apply(table(b), marks.filter(pc.equal(marks["bucket"], b))).to_pylist()}
+        assert got == suffix_dedup.brute_force(texts), trial
 
 
 def test_op1_suffix_arrays_are_sorted_with_their_common_prefixes():
@@ -163,8 +172,7 @@ def test_op3_keeps_text_like_the_trusted(spark, docs, hard, monkeypatch):
 
 
 def test_op4_counts_base_and_distribution(docs, hard, monkeypatch):
-    monkeypatch.setattr(brown_lm, "BLOCK_BYTES", 9000)
-    monkeypatch.setattr(brown_lm, "SHARD_TEXT", 20000)
+    monkeypatch.setattr(brown_lm, "SHARD_WORDS", 900)
     got = brown_lm.score(docs, crc_mod(F.col("doc_id"), 10) != 0).collect()
     tokens = [(i, re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower()) + [None]) for i, t in hard]
     out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
@@ -177,6 +185,74 @@ def test_op4_counts_base_and_distribution(docs, hard, monkeypatch):
     assert np.allclose(p.sum(1), 1)
 
 
+def brute_brown(texts, trained):
+    """Exchange and scores in plain Python: (log likelihoods, score of each text)."""
+    size, first, rest = brown_lm.CLASSES, brown_lm.FIRST, brown_lm.REST
+    docs = [re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower()) + [b" "] for t in texts]
+    count = Counter(w for d, t in zip(docs, trained, strict=True) if t for w in d)
+    order = sorted({w for d in docs for w in d}, key=lambda w: xxhash.xxh64_intdigest(w, 7))
+    number = {w: k for k, w in enumerate(order)}
+    cls = {w: rest if count[w] else brown_lm.UNSEEN for w in order}
+    for k, w in enumerate(sorted((w for w in order if count[w] and w != b" "), key=lambda w: (-count[w], number[w]))[: size - first]):
+        cls[w] = first + k
+    cls[b" "] = brown_lm.END
+    best, found, kept = dict(cls), [], None
+    for k in range(brown_lm.ROUNDS):
+        profile = {w: np.zeros(2 * size) for w in order}
+        for d, t in zip(docs, trained, strict=True):
+            if t:
+                for a, b in zip([b" ", *d], d, strict=False):
+                    profile[b][cls[a]] += 1
+                for a, b in zip(d, d[1:], strict=False):
+                    profile[a][size + cls[b]] += 1
+        n = np.zeros((size, 2 * size))
+        for w in order:
+            n[cls[w]] += profile[w]
+        now = brown_lm.log_likelihood(n)
+        rises, enough = not found or now > max(found), found and now - max(found) < brown_lm.ENOUGH * abs(max(found))
+        found.append(now)
+        if rises:
+            best, kept = dict(cls), (profile, n)
+        if k + 1 == brown_lm.ROUNDS or (enough and k > 2):
+            break
+        profile, n = kept
+        likely, cls = [], dict(best)
+        for side in (n[:, :size], n[:, size:]):
+            p = side[rest:] + 20 * (side.sum(0) + 1) / (side.sum(0) + 1).sum()
+            likely.append(np.log(p / p.sum(1, keepdims=True)))
+        likely = np.concatenate(likely, axis=1)
+        for w in order:
+            if profile[w].any() and cls[w] >= rest and (not k or (number[w] * 0x9E37 >> 3) % 2 == k % 2):
+                cls[w] = rest + int((likely @ profile[w]).argmax())
+    tokens, once = sum(count.values()), sum(c == 1 for c in count.values())
+    of, kinds, cells = Counter(), Counter(), np.zeros((size, size))
+    for w, c in count.items():
+        of[best[w]] += c
+        kinds[best[w]] += 1
+    for d, t in zip(docs, trained, strict=True):
+        for a, b in zip([b" ", *d], d, strict=False):
+            cells[best[a], best[b]] += t
+    p = brown_lm.transitions(cells, min(0.5, (once + 1) / tokens))
+    emit = lambda w: math.log10((count[w] + 0.1) / (of[best[w]] + 0.1 * kinds[best[w]])) if count[w] else 0.0
+    return found, [sum(p[best[a], best[b]] + emit(b) for a, b in zip([b" ", *d], d, strict=False)) for d in docs]
+
+
+def test_op4_exchange_against_brute_force(spark, monkeypatch):
+    """Scores of the whole model; the log likelihood of the class bigrams rises from round to round."""
+    rnd = random.Random(71)
+    nouns, verbs, rest = ([words(n=1, rnd=rnd) + x for _ in range(70)] for x in ("n", "v", ""))
+    texts = [(i, " ".join(w for _ in range(rnd.randint(0, 25)) for w in ("the", rnd.choice(nouns), rnd.choice(verbs), rnd.choice(["a", "one"]), rnd.choice(nouns), rnd.choice(rest)))) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)  # a block each
+    trained = [zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in texts]
+    found, want = brute_brown([t for _, t in texts], trained)
+    seen = []
+    real = brown_lm.exchange
+    monkeypatch.setattr(brown_lm, "exchange", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    got = {r.doc_id: r.score for r in brown_lm.score(df, crc_mod(F.col("doc_id"), 10) != 0).collect()}
+    assert all(abs(got[i] - w) < 1e-6 for (i, _), w in zip(texts, want, strict=True))
+    assert np.allclose(seen[0][1], found) and found[1] > found[0] and max(found[1:]) == max(found)
+
+
 def test_op5_against_brute_force(docs, hard, monkeypatch):
     monkeypatch.setattr(simhash_vptree, "SHARD_POINTS", 12)
     monkeypatch.setattr(simhash_vptree, "LEAF", 4)
