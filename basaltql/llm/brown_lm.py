@@ -21,8 +21,6 @@ Repeated rows are scored alike and count each time.  Extra columns are ignored.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, released, shared_dir, written
+from .common import bucketed, dropped, released, written
 
 #: SHARD_WORDS: words that blocks ask one shard for.  ENOUGH: growth of the log likelihood, as a share, at which rounds end.
 CLASSES, ROUNDS, ENOUGH, BLOCK_BYTES, SHARD_WORDS = 64, 4, 1e-4, 6 << 20, 400_000
@@ -390,13 +388,6 @@ def exchange(blocks: DataFrame, vocabulary: DataFrame, markers: dict[tuple[int,
     return best, found
 
 
-def _bucketed(df: DataFrame, key: str, buckets: int) -> str:
-    """The name of a table with df's rows in the shared folder, bucketed by a key, so that a cogroup by it doesn't move them."""
-    name = f"brown_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_dir(df.sparkSession)}/{name}").saveAsTable(name)
-    return name
-
-
 def score(documents: DataFrame, training: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; learns where `training` holds."""
     spark = documents.sparkSession
@@ -404,8 +395,7 @@ def score(documents: DataFrame, training: Column) -> DataFrame:
     first = written(docs.mapInArrow(_blocks, BLOCKS), "brown-blocks")
     asked, n_blocks = first.agg(F.sum("n_words"), F.count("*")).first()
     shards = max(1, (asked or 0) // SHARD_WORDS)
-    name = _bucketed(first.select("block", "docs", "tokens"), "block", int(min(100_000, max(1, n_blocks))))
-    blocks = spark.table(name)
+    blocks, drop = bucketed(first.select("block", "docs", "tokens"), "block", int(min(100_000, max(1, n_blocks))))
     asks = first.select("block", "words", "counts").mapInArrow(_asks(shards), "shard long, block long, words binary, counts binary")
     vocabulary = written(asks.groupBy("shard").applyInArrow(_vocabulary, VOCAB), "brown-vocabulary")
     dropped(first)
@@ -423,8 +413,7 @@ def score(documents: DataFrame, training: Column) -> DataFrame:
     own = blocks.select("block", "docs", "tokens").groupBy("block")
     made = own.cogroup(classed.where("block >= 0").select("block", "shard", "counts", "classes").groupBy("block")).applyInArrow(_sequences(tokens, types, sizes[:CLASSES], sizes[CLASSES:]), SEQUENCES)
     made = written(made, "brown-sequences")
-    dropped(blocks)
-    spark.sql(f"DROP TABLE {name}")
+    drop()
     unseen = min(0.5, ((t.once or 0) + 1) / max(tokens, 1))
     log_p = transitions(_summed(made.select("cells"), CLASSES * CLASSES), unseen)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

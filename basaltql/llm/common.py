@@ -88,3 +88,16 @@ def released(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+def bucketed(df: DataFrame, key: str, buckets: int):
+    """df as a table in the shared folder, bucketed by a key, so that a cogroup by it doesn't move its rows; and a call that deletes it."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+
+    def drop() -> None:
+        dropped(table)
+        spark.sql(f"DROP TABLE {name}")
+
+    return table, drop

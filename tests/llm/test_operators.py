@@ -147,17 +147,69 @@ def test_op2_blocks_of_items(spark, docs, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()} >= {(1, 1), (40, 2)}
 
 
-def test_op3_probabilities_sum_to_one(spark):
-    texts = spark.createDataFrame([(words(n=300).encode(),) for _ in range(20)], "text binary")
-    model, shares, passes = kneser_ney.fit(texts)
-    model.ids4, model.share4 = (x.astype(t) for x, t in zip(kneser_ney._arrays(shares, "id", "share"), (np.uint32, np.float32), strict=True))
-    for context in (b"the", b"zzz", b"ing"):
-        ids = np.frombuffer(b"".join((context + bytes([c]))[::-1] for c in range(256)), "<u4")
-        assert abs((10 ** model.log10(ids)).sum() - 1) < 1e-4, context
-    assert passes == 1
-
-
-def test_op3_keeps_text_like_the_trusted(spark, docs, hard, monkeypatch):
+def brute_kneser_ney(trusted, text):
+    """log10 probability of a text under interpolated modified Kneser-Ney, by dictionaries and plain recursion."""
+    order = kneser_ney.ORDER
+    tables = {order: Counter(raw[i : i + order] for t in trusted for raw in [kneser_ney.PAD + t] for i in range(len(t)))}
+    for n in range(order - 1, 0, -1):
+        tables[n] = Counter(g[1:] for g in tables[n + 1])
+    cut = {n: kneser_ney.discounts([sum(c == k for c in tables[n].values()) for k in (1, 2, 3, 4)]) for n in range(2, order + 1)}
+    totals = {n: Counter() for n in tables}
+    off = {n: Counter() for n in tables}
+    for n in range(2, order + 1):
+        for g, c in tables[n].items():
+            totals[n][g[:-1]] += c
+            off[n][g[:-1]] += cut[n][min(c, 3) - 1]
+
+    def p(g):
+        n = len(g)
+        if n == 1:
+            return (tables[1][g] + 0.5) / (sum(tables[1].values()) + 128)
+        if not totals[n][g[:-1]]:
+            return p(g[1:])
+        c = tables[n][g]
+        return (c - (cut[n][min(c, 3) - 1] if c else 0)) / totals[n][g[:-1]] + off[n][g[:-1]] / totals[n][g[:-1]] * p(g[1:])
+
+    raw = kneser_ney.PAD + text
+    return sum(math.log10(p(raw[i : i + order])) for i in range(len(text)))
+
+
+def test_op3_against_brute_force(spark):
+    """Perplexities of 60 texts; probabilities that sum to one; texts in pieces; a model in many shards."""
+    rnd = random.Random(81)
+    trusted = [words(n=rnd.randint(1, 40), rnd=rnd).encode() for _ in range(30)]
+    texts = [(i, t.decode(), "en") for i, t in enumerate(trusted)] + [(100 + i, words(("en", "fr", "de")[i % 3], rnd.randint(0, 30), rnd), "en") for i in range(28)] + [(200, None, None), (201, "", "en")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3)
+    model, p2 = kneser_ney.fit(spark.createDataFrame([(t,) for t in trusted], "text binary"), 3)
+    rows_ = model.toPandas()
+    shard = kneser_ney.Shard(*(rows_[c].to_numpy() for c in ("rank", "id", "value")), p2)
+    for context in (b"\n\n\nth", b"zzzzz", b"rethi"):
+        ids = np.array([int.from_bytes(context + bytes([c]), "big") for c in range(256)], np.uint64)
+        assert abs((10 ** shard.log10(ids)).sum() - 1) < 1e-6, context
+    want = {i: brute_kneser_ney(trusted, (t or "").encode()) for i, t, _ in texts}
+    got = {r.doc_id: r for r in kneser_ney.log_probabilities(df, model, p2).collect()}
+    assert all(abs(got[i].log10p - w) < 1e-4 * max(1, abs(w)) and got[i].n_bytes == len((t or "").encode()) for (i, t, _), w in zip(texts, want.values(), strict=True))
+    # what a shard answers doesn't depend on how many there are
+    ids = np.unique(kneser_ney._grams(kneser_ney.PAD + texts[40][1].encode(), np.array([len(texts[40][1].encode())]))[0])
+    whole = dict(zip(ids.tolist(), shard.log10(ids), strict=True))
+    pair = np.where(rows_["rank"] > 0, rows_["id"].to_numpy() >> 8, rows_["id"].to_numpy()) % (1 << 16)
+    for s, asked in kneser_ney._distinct(ids, 7):
+        own = rows_[(pair * kneser_ney.SPREAD) % (1 << 16) % 7 == s]
+        part = kneser_ney.Shard(*(own[c].to_numpy() for c in ("rank", "id", "value")), p2)
+        assert np.allclose(part.log10(asked), [whole[i] for i in asked.tolist()])
+
+
+def test_op3_pieces_of_long_texts(monkeypatch):
+    monkeypatch.setattr(kneser_ney, "PIECE", 7)
+    text = b"a text that is cut in pieces"
+    pieces = list(kneser_ney._pieces(text))
+    sizes = np.array([len(p) - len(kneser_ney.PAD) for p in pieces])
+    ids, of = kneser_ney._grams(b"".join(pieces), sizes)
+    raw = kneser_ney.PAD + text
+    assert ids.tolist() == [int.from_bytes(raw[i : i + kneser_ney.ORDER], "big") for i in range(len(text))] and len(set(of.tolist())) == len(pieces) == 4
+
+
+def test_op3_keeps_text_like_the_trusted(spark, docs, hard):
     junk = [(500 + i, " ".join(w.upper() + "!!" for w in words(n=80).split())) for i in range(10)]
     both = docs.unionByName(spark.createDataFrame(rows(junk), SCHEMA))
     trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
@@ -165,10 +217,6 @@ def test_op3_keeps_text_like_the_trusted(spark, docs, hard, monkeypatch):
     assert len(got) == both.count() and not any(r.keep for r in got if r.doc_id and r.doc_id >= 500)
     assert all(r.perplexity is None and not r.keep for r in got if not r.n_bytes)
     assert sum(r.keep for r in got if r.doc_id is not None and r.doc_id < 60) > 50
-    monkeypatch.setattr(kneser_ney, "PASS_ROWS", 500)
-    again = kneser_ney.quality(both, trusted).collect()
-    key = lambda r: (r.doc_id or -1, r.n_bytes, round(r.perplexity or 0, 9))
-    assert sorted(map(key, got)) == sorted(map(key, again))
 
 
 def test_op4_counts_base_and_distribution(docs, hard, monkeypatch):
