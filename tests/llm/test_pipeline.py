@@ -99,9 +99,10 @@ def test_groups_that_cross_batches_are_whole():
 
     rnd = np.random.RandomState(5)
     base = np.arange(100, dtype=np.uint64)
-    rows = [(g, 100 * g + i, 100 * g + i, np.sort(np.where(rnd.rand(100) < 0.04, base + np.uint64(1000 * (i + 1)), base)).tobytes()) for g, n in enumerate((1, 2, 9, 3, 1, 20, 2)) for i in range(n)]
+    key = lambda k: k.to_bytes(16, "big")
+    rows = [(g, key(100 * g + i), key(100 * g + i), np.sort(np.where(rnd.rand(100) < 0.04, base + np.uint64(1000 * (i + 1)), base)).tobytes()) for g, n in enumerate((1, 2, 9, 3, 1, 20, 2)) for i in range(n)]
     names = ["root", "_key", "part", "shingles"]
-    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
     whole = pa.RecordBatch.from_arrays(cols, names)
     edges = lambda batches: sorted(e for out in simhash_vptree._group_links(batches) for e in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
     want = edges([whole])
