@@ -58,6 +58,51 @@ def op9_flac_media(spark, sf_dir):
     return flac_media.features(flac_media.encode(table(spark, sf_dir, "documents")))
 
 
+def lm_base_scores(spark, sf_dir):
+    """What op4 counts, and its base score: the part that SQL can express."""
+    return op4_brown_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def media_payloads(spark, sf_dir):
+    """What op9 reads back from its streams, without the streams' own bytes and features."""
+    return op9_flac_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
+def media_blocks(spark, sf_dir):
+    """The PCM blocks of all texts' streams, by sample offset."""
+    docs = table(spark, sf_dir, "documents")
+    blocks = flac_media.decode(flac_media.encode(docs))
+    return blocks.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.min("sample_offset").alias("first_sample"), F.max("sample_offset").alias("last_sample"))
+
+
+def langid_split(spark, sf_dir):
+    """Which rows op6 holds out, and which it calls und."""
+    return op6_ecoc_langid(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("und"))
+
+
+def exact_leaks(spark, sf_dir):
+    """The hits of op2 without an edit."""
+    return op2_decontaminate(spark, sf_dir).where("edits = 0").select("doc_id", "item_id")
+
+
+def _crc32(bytes_list: str) -> str:
+    """DuckDB SQL of the CRC-32 of a list of byte values."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_list}), lambda c, x: {_crc_step()}), 4294967295::BIGINT)"
+
+
+def _crc_step() -> str:
+    """One byte of a CRC-32: eight shifts, spelled out over lists of one value."""
+    step = "[xor(c, x)]"
+    for _ in range(8):
+        step = f"list_transform({step}, lambda v: xor(v >> 1, 3988292384::BIGINT * (v & 1)))"
+    return f"({step})[1]"
+
+
+_ID_CRC = _crc32("list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda e: CAST(ascii(e) AS BIGINT))")
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NORMAL = "trim(regexp_replace(lower(coalesce(text, '')), '[\\s\\x{85}\\x{A0}\\x{1C}-\\x{1F}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))"
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -69,9 +114,38 @@ QUERIES = {
     "op8_feistel_pii": op8_feistel_pii,
     "op9_flac_media": op9_flac_media,
     "op10_ipf_mix": op10_ipf_mix,
+    "lm_base_scores": lm_base_scores,
+    "media_payloads": media_payloads,
+    "media_blocks": media_blocks,
+    "langid_split": langid_split,
+    "exact_leaks": exact_leaks,
 }
 
 ORACLE_SQL = {
+    "lm_base_scores": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ID_CRC} % 10 = 0 AS held_out,
+             list_append(regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+'), ' ') AS ws FROM documents),
+w AS (SELECT r, held_out, unnest(ws) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM w WHERE NOT held_out GROUP BY w),
+t AS (SELECT sum(c) AS n, count(*) AS v FROM c),
+s AS (SELECT r, count(c.w) AS k, sum(log10((coalesce(c.c, 0) + 0.1) / (t.n + 0.1 * (t.v + 1)))) AS b FROM w LEFT JOIN c USING (w), t GROUP BY r)
+SELECT doc_id, held_out, CAST(len(ws) AS BIGINT) AS n_tokens, k AS n_known, CAST(t.n AS BIGINT) AS train_tokens, round(b, 4) AS base_score FROM d JOIN s USING (r), t
+""",
+    "media_payloads": f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, octet_length(b) AS n, hex(b) || repeat('20', greatest(192, CAST(ceil(octet_length(b) / 192) AS INT) * 192) - octet_length(b)) AS h FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(length(h) // 2 AS BIGINT) AS payload_bytes, sha256(unhex(h)) AS payload_sha256,
+       {_crc32("list_transform(range(16), lambda i: CAST('0x' || substr(h, length(h) - 31 + 2 * CAST(i AS INT), 2) AS BIGINT))")} AS tail_crc32 FROM p
+""",
+    "media_blocks": """
+SELECT doc_id, CAST(greatest(1, ceil(strlen(coalesce(text, '')) / 192)) AS BIGINT) AS n_blocks, CAST(0 AS BIGINT) AS first_sample,
+       CAST(192 * (greatest(1, ceil(strlen(coalesce(text, '')) / 192)) - 1) AS BIGINT) AS last_sample FROM documents
+""",
+    "langid_split": f"SELECT doc_id, {_ID_CRC} % 4 = 2 AS held_out, NOT regexp_matches(coalesce(text, ''), '\\p{{L}}') AS und FROM documents",
+    "exact_leaks": f"""
+WITH i AS (SELECT item_id, {_NORMAL} AS t FROM benchmark), d AS (SELECT doc_id, {_NORMAL} AS t FROM documents)
+SELECT doc_id, item_id FROM d JOIN i ON i.t <> '' AND contains(d.t, i.t) AND (strlen(i.t) >= 8 OR contains(' ' || d.t || ' ', ' ' || i.t || ' '))
+""",
     "op10_ipf_mix": ipf_mix.oracle_sql(),
     "op1_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
