@@ -1,6 +1,6 @@
 """Format-preserving Feistel pseudonyms for personal data, in SQL functions only.
 
-Found and validated: payment cards (Luhn), phone numbers, IPv4 addresses (octets), US social security numbers (area),
+Found and validated: payment cards (Luhn sum and a payment network's first digits, which stay), phone numbers, IPv4 addresses (octets), US social security numbers (area),
 dates (calendar, 1900 to 2099), and, letter for letter, e-mail names, access keys and secrets in an assignment.  Each
 is permuted within its own format by an 8-round keyed Feistel network over Z_a x Z_b (letters: over the halves of the
 string), so a pseudonym is valid where its original was, and equal values stay equal in all documents.  What fails
@@ -40,6 +40,8 @@ NUMBER = "|".join((
     r"\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
     r"\d{3} \d{3} \d{4}(?!\d)",
 ))
+#: The first digits of payment networks' cards.
+NETWORK = r"^(?:3[04-9]|4|5|6|222[1-9]|22[3-9]|2[3-6]|27[01]|2720)"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,5}(?:[ .-]?\d{3,5})?(?!\d)|(?<![\w+])\+\d{8,15}(?!\d)"
 FOUND = f"{EMAIL}|{SECRET}|{PHONE}|(?<![\\w.-])(?:{NUMBER})"
 
@@ -92,9 +94,9 @@ def _number(m: str, key: str, tweak: str, keep: str) -> str:
 
 
 def _card(m: str, key: str) -> str:
-    d, n = _digits(m), f"(length({_digits(m)}) - 1)"
+    d, n = _digits(m), f"(length({_digits(m)}) - 5)"
     low = f"({n} div 2)"
-    body = _permuted(f"substr({d}, 1, {n} - {low})", f"substr({d}, 1 + {n} - {low}, {low})", _power(f"{n} - {low}"), _power(low), key, "card", f"concat(lpad(cast(s.l as string), {n} - {low}, '0'), lpad(cast(s.r as string), {low}, '0'))")
+    body = _permuted(f"substr({d}, 5, {n} - {low})", f"substr({d}, 5 + {n} - {low}, {low})", _power(f"{n} - {low}"), _power(low), key, "card", f"concat(substr({d}, 1, 4), lpad(cast(s.l as string), {n} - {low}, '0'), lpad(cast(s.r as string), {low}, '0'))")
     return _laid_out(m, f"element_at(transform(array({body}), b -> concat(b, cast(pmod(-{_luhn('b', 1)}, 10) as string))), 1)")
 
 
@@ -151,7 +153,7 @@ def pseudonym_sql(m: str, key: str) -> str:
         if(substr({m}, 1, 3) not in ('000', '666') and substr({m}, 1, 1) <> '9' and substr({m}, 5, 2) <> '00' and substr({m}, 8) <> '0000', {_ssn(m, key)}, {m})
       when substr({m}, 1, 1) = '+' then {_number(m, key, 'phone', f"greatest(1, least(3, {digits} - 10))")}
       when {digits} = 10 then {_number(m, key, 'phone', '0')}
-      when {_luhn(_digits(m), 0)} % 10 = 0 then {_card(m, key)}
+      when {_digits(m)} rlike {_q(NETWORK)} and {_luhn(_digits(m), 0)} % 10 = 0 then {_card(m, key)}
       else {m} end"""
 
 
