@@ -4,8 +4,9 @@
 offsets, and mono 8-bit frames of BLOCK samples.  Each frame takes the shortest of a constant, a verbatim, a fixed
 (orders 0 to 2) and a second-order linear predictor subframe with Rice-coded residuals.  `decode` finds the frames by
 their headers, verifies CRC-8 and CRC-16 of each and the MD5 of all, decodes residuals and predictors and gives PCM
-blocks with sample and byte offsets, so a reader can start anywhere.  Frames are coded side by side as rows of numpy
-arrays; memory is bounded by CHUNK, however long a text is.
+blocks with sample and byte offsets, so a reader can start anywhere; `decode_any` does the same for streams of other
+encoders (`flac_reader`).  Frames are coded side by side as rows of numpy arrays, CHUNK of them at a time; besides these
+a task holds the streams of one text, or of several short ones.
 
 Null text is stored as the empty one; every payload has one block at least.  A null doc_id stays null.  Equal texts
 give equal streams.  Extra columns are ignored.  A broken stream raises BrokenStream.
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary_buffers
+from .flac_reader import pcm_bytes, read
 
 BLOCK, RATE, SEEK_EVERY, CHUNK = 192, 8000, 256, 6144
 #: Fixed values of the format: precision and shift chosen for the linear predictor; the most bits of a subframe.
@@ -375,6 +377,20 @@ def decode(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(each, "doc_id long, block long, sample_offset long, byte_offset long, pcm binary")
 
 
+def decode_any(media: DataFrame) -> DataFrame:
+    """Like `decode`, for any FLAC streams: pcm is interleaved little-endian samples in whole bytes, 8-bit ones signed."""
+
+    def each(batches):
+        for b in batches:
+            for i, stream in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                got = read(stream.as_buffer().to_pybytes())
+                ends = [s for s, _ in got.frames[1:]] + [got.samples.shape[1]]
+                pcm = [pcm_bytes(got.samples[:, s:e], got.bits) for (s, _), e in zip(got.frames, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(pcm), pa.int64()), pa.array(np.arange(len(pcm))), pa.array([s for s, _ in got.frames], pa.int64()), pa.array([at for _, at in got.frames], pa.int64()), pa.array(pcm, pa.binary())], ["doc_id", "block", "sample_offset", "byte_offset", "pcm"])
+
+    return media.where("media is not null").select("doc_id", "media").mapInArrow(each, "doc_id long, block long, sample_offset long, byte_offset long, pcm binary")
+
+
 def features(media: DataFrame) -> DataFrame:
     """Reads each stream back: digests of payload and stream, and a feature string (sum, energy, zero crossings, peak)."""
 
