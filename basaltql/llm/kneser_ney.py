@@ -4,7 +4,8 @@ Counts of all trusted documents are gathered in shards, as many as the trusted b
 discounts, context weights and the probabilities of all n-grams seen, order by order, are joins and sums over the count
 tables; nothing that grows with the corpus is broadcast or collected.  Scoring is a sharded count join: texts are cut in
 blocks, a block asks the shards of the model for its distinct 6-grams, a shard looks each up, backs off where it wasn't
-seen and answers with its log probability, and the block adds the answers up over its texts.  An n-gram, its suffixes
+seen and answers with its log probability (in steps of 1 / STEPS, two bytes each), and the block adds the answers up
+over its texts.  An n-gram, its suffixes
 and all their contexts agree in the two bytes before the last, so one shard holds all that a 6-gram needs.  A document's
 perplexity is held against a quantile of the trusted documents' perplexities in its language.
 
@@ -32,6 +33,8 @@ ORDER, QUANTILE, FOLDS, FEW = 6, 0.99, 5, 20
 #: Bytes of text in a block, of a piece of a long text; trusted bytes a count shard; model rows and asked n-grams a scoring shard; ids that may be broadcast.
 BLOCK_BYTES, PIECE, COUNT_BYTES, SHARD_ROWS, BROADCAST_IDS = 6 << 20, 4 << 20, 8 << 20, 2_000_000, 2_000_000
 PAD = b"\n" * (ORDER - 1)
+#: Steps of a log10 probability in an answer; those beyond -65535 / STEPS count as that.
+STEPS = 4096
 #: An odd multiplier that spreads the 2**16 pairs of bytes over shards.
 SPREAD = 40503
 
@@ -66,9 +69,11 @@ def _grams(flat: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids = np.zeros(max(0, len(raw) - ORDER + 1), np.uint64)
     for k in range(ORDER):
         ids = ids << np.uint64(8) | raw[k : k + len(ids)]
-    starts = np.cumsum(sizes + ORDER - 1) - sizes - ORDER + 1
-    piece = np.repeat(np.arange(len(sizes)), sizes)
-    return ids[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], piece
+    whole = np.ones(len(raw), bool)  # n-grams that end in the piece they begin in
+    ends = np.cumsum(sizes + ORDER - 1)
+    for k in range(1, ORDER):
+        whole[ends - k] = False
+    return ids[whole[: len(ids)]], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
 
 def _shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
@@ -158,20 +163,22 @@ def fit(texts: DataFrame, shards: int = 1) -> tuple[DataFrame, np.ndarray]:
         tables[n] = written(lower, "kn-continuations")
     p2 = _pairs(tables[2])
     below = spark.createDataFrame(pa.table({"suffix": np.arange(1 << 16), "lower": p2}))
-    out = []
+    out, held = [], []
     for n in range(3, ORDER + 1):
         shares, heads = _level(tables[n])
         # every n-gram's suffix was counted, so no row is lost
         own = shares.withColumn("suffix", F.col("id") % (1 << 8 * (n - 1))).join(below, "suffix").select("id", (F.col("share") + F.col("weight") * F.col("lower")).alias("value"))
         own = written(own, "kn-probabilities")
+        held.append(own)
         out += [own.select(F.lit(n).alias("rank"), "id", "value"), heads.select(F.lit(-n).alias("rank"), F.col("context").alias("id"), F.col("weight").alias("value"))]
         below = own.select(F.col("id").alias("suffix"), F.col("value").alias("lower"))
     model = out[0]
     for part in out[1:]:
         model = model.union(part)
     model = written(model, "kn-model")
-    for old in tables.values():
+    for old in (*tables.values(), *held):
         dropped(old)
+    released(spark)
     return model, p2
 
 
@@ -268,7 +275,8 @@ ANSWERS = "block long, shard long, logs binary"
 def _answers(p2: np.ndarray):
     def each(asks: pa.Table, model: pa.Table) -> pa.Table:
         shard = Shard(*(model.column(c).to_numpy() for c in ("rank", "id", "value")), p2)
-        logs = [_zip(shard.log10(_unpack(ids.as_py())).astype("<f4").view("u1").reshape(-1, 4).T) for ids in asks.column("ids")]
+        steps = lambda ids: np.minimum(np.rint(-STEPS * shard.log10(ids)), 65535).astype("<u2")
+        logs = [_zip(steps(_unpack(ids.as_py())).view("u1").reshape(-1, 2).T) for ids in asks.column("ids")]
         return pa.table({"block": asks.column("block"), "shard": asks.column("shard"), "logs": pa.array(logs, pa.binary())})
 
     return each
@@ -285,9 +293,13 @@ def _added(shards: int):
             total = np.zeros(table.num_rows)
             if len(ids):
                 asked = _distinct(ids, shards)
-                keys, values = np.concatenate([g for _, g in asked]), np.concatenate([np.ascontiguousarray(_unzip(logs[s], "u1").reshape(4, -1).T).view("<f4").reshape(-1) for s, _ in asked])
+                keys, steps = np.concatenate([g for _, g in asked]), np.concatenate([np.ascontiguousarray(_unzip(logs[s], "u1").reshape(2, -1).T).view("<u2").reshape(-1) for s, _ in asked])
+                del asked
                 order = np.argsort(keys)
-                total = np.bincount(piece, values[order].astype(float)[np.searchsorted(keys[order], ids)], table.num_rows)
+                keys, steps = keys[order], steps[order]
+                for lo in range(0, len(ids), 1 << 19):
+                    own = slice(lo, lo + (1 << 19))
+                    total -= np.bincount(piece[own], steps[np.searchsorted(keys, ids[own])], table.num_rows) / STEPS
             out.append(pa.table({"row": table.column("row"), "doc_id": table.column("doc_id"), "lang": table.column("lang"), "n_bytes": table.column("n"), "log10p": total}))
         return pa.concat_tables(out)
 
